@@ -19,10 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Letters and signs of other alphabets, then the Latin ones they look like.
 _ALIKE = [
-    ("абсԁеһіјӏорԛѕухѵԝ", "aбcdehijlopqsyxvw"),
+    ("асԁеһіјӏорԛѕухѵԝ", "acdehijlopqsyxvw"),
     ("АВСЕԌНІЈКМОРԚЅТХУѴԜ", "ABCEGHIJKMOPQSTXYVW"),
     ("αινορυϲϳ", "aivopucj"),
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),
@@ -35,6 +36,7 @@ _LISTED = {ord(a): b for left, right in _ALIKE for a, b in zip(left, right, stri
 # Characters without width that are no format characters.
 _NO_WIDTH = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 _ALIKE_TAGS = ("<wide>", "<narrow>", "<font>", "<small>", "<noBreak>")
+_PARTS = "\ue000"
 _KEPT_COMPAT = {0x017F, 0x1E9B, 0x00B5}
 
 
@@ -72,17 +74,16 @@ def _decomposed(text: str) -> str:
 
 def skeleton(text: str | None) -> str | None:
     """The skeleton of one text, null for null. Runs of blanks count as one, outer ones not at all."""
-    return None if text is None else " ".join(_decomposed(text).split(" ")).strip() if "  " not in text else " ".join(_decomposed(text).split())
+    return None if text is None else " ".join(_decomposed(text).split())
 
 
 def skeletons(texts: list[str]) -> list[str]:
     """The skeletons of many texts, by one pass over all their characters."""
     if not texts:
         return []
-    # A private-use character parts the texts; one inside a text would part it wrongly, so it is looked for.
-    if any("" in t for t in texts):
+    if any(_PARTS in t for t in texts):  # the parting character itself occurs
         return [skeleton(t) for t in texts]
-    return [" ".join(t.split()) for t in _decomposed("".join(texts)).split("")]
+    return [" ".join(t.split()) for t in _decomposed(_PARTS.join(texts)).split(_PARTS)]
 
 
 def reading(skel: str) -> str:
@@ -104,12 +105,12 @@ def _by_value(values: pd.Series, f) -> pd.Series:
     return found.take(codes).reset_index(drop=True)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _skeleton_udf(values: pd.Series) -> pd.Series:
     return _by_value(values, skeletons)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _key_udf(values: pd.Series) -> pd.Series:
     return _by_value(values, lambda texts: [reading(s) for s in skeletons(texts)])
 
@@ -156,7 +157,7 @@ def _any_plain_alike(forms: DataFrame) -> bool:
 
 
 def groups_by_look(texts: DataFrame, column: str, key: str) -> DataFrame:
-    """One row for each spelling: ``skeleton``, ``spelling``, ``n`` rows, ``first_key`` and ``n_spellings`` of its group.
+    """One row for each spelling that shares its skeleton with another: ``spelling``, ``n`` rows, ``first_key`` and ``n_spellings`` of its group.
 
     Null texts give no row. Spellings are counted before skeletons are formed, so a frequent value is
     one row, and a skeleton's group holds spellings, not texts.
@@ -164,4 +165,4 @@ def groups_by_look(texts: DataFrame, column: str, key: str) -> DataFrame:
     spellings = texts.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("spelling")).agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
     keyed = spellings.withColumn("skeleton", skeleton_of("spelling"))
     sizes = keyed.groupBy("skeleton").agg(F.count("*").alias("n_spellings"))
-    return keyed.join(sizes, "skeleton").where("n_spellings > 1").select("skeleton", "spelling", "n", "first_key", "n_spellings")
+    return keyed.join(sizes, "skeleton").where("n_spellings > 1").select("spelling", "n", "first_key", "n_spellings")
