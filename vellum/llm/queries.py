@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import lookalike
+from vellum.llm import frequency, lookalike, splits
 from vellum.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Problem 1: splits that keep related records together.
+
+
+@_query
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of files of ``dataset_entries`` that must share a split."""
+    return splits.tied_pairs(_table(spark, folder, "dataset_entries"))
+
+
+@_query
+def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """New split of every entry, stratified by genre."""
+    return splits.assign_splits(_table(spark, folder, "dataset_entries"), F.col("metadata.genre"))
+
+
 # Problem 2: visually identical text.
 
 
@@ -35,3 +51,21 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Spellings of ``abbr_text`` that share a skeleton."""
     return lookalike.groups_by_look(_table(spark, folder, "abbr_records"), "abbr_text", "abbr_no")
+
+
+# Problem 6: frequency of every term.
+
+
+@_query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms of ``user_decisions`` in too few or too many decisions."""
+    once = frequency.decisions_once(_table(spark, folder, "user_decisions"))
+    counts = frequency.count_ngrams(frequency.decision_terms(once))
+    return frequency.mark(counts, once.count()).where(F.col("mark").isNotNull()).select("field", "term", "mark")
+
+
+@_query
+def p6_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every run of one to three words in both fields of ``user_decisions``."""
+    once = frequency.decisions_once(_table(spark, folder, "user_decisions"))
+    return frequency.count_ngrams(frequency.decision_terms(once), sigma=3)

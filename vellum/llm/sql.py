@@ -18,7 +18,22 @@ def look(x: str) -> str:
     return f"nfc_normalize(trim(regexp_replace({x}, '{_BLANKS}', ' ', 'g')))"
 
 
+_DECISION_TERMS = f"""
+        once AS (SELECT decision_no, any_value(abbreviation) AS abbreviation, any_value(expansion) AS expansion FROM user_decisions GROUP BY 1),
+        terms AS (SELECT 'abbreviation' AS field, decision_no, list_filter([lower({look("abbreviation")})], lambda x: x <> '') AS words FROM once WHERE abbreviation IS NOT NULL
+                  UNION ALL
+                  SELECT 'expansion', decision_no, list_filter(list_transform(string_split(lower({look("expansion")}), ' '), lambda x: rtrim(x, ',.;')), lambda x: x <> '')
+                  FROM once WHERE expansion IS NOT NULL)"""
+
+
 SQL: dict[str, str] = {
+    "p1_found": f"""
+        WITH RECURSIVE named AS (SELECT DISTINCT regexp_replace(lower(regexp_replace(regexp_extract(source.file, '[^/\\\\]*$'), '^{_BLANKS}|{_BLANKS}$', '', 'g')), '\\.xml$', '') AS file,
+                                        lower({look("abbreviation")}) AS abbr FROM dataset_entries),
+        tie AS (SELECT * FROM named WHERE file <> '' AND abbr <> ''),
+        link AS (SELECT DISTINCT a.file AS x, b.file AS y FROM tie a JOIN tie b USING (abbr) WHERE a.file <> b.file),
+        reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+        SELECT DISTINCT x AS file_a, y AS file_b FROM reach WHERE x < y""",
     "p2_found": f"""
         WITH forms AS (SELECT form_id, form, {look("form")} AS skel FROM abbr_forms),
         texts AS (SELECT abbr_no, 'abbr_text' AS field, abbr_text AS v FROM abbr_records
@@ -30,4 +45,14 @@ SQL: dict[str, str] = {
                    FROM abbr_records WHERE abbr_text IS NOT NULL GROUP BY 1),
         g AS (SELECT look, count(*) AS n_spellings FROM s GROUP BY 1 HAVING count(*) > 1)
         SELECT spelling, n, first_key, n_spellings FROM s JOIN g USING (look)""",
+    "p6_found": f"""
+        WITH {_DECISION_TERMS}, total AS (SELECT count(*) AS total FROM once),
+        counts AS (SELECT field, words[i] AS term, count(DISTINCT decision_no) AS records FROM terms, unnest(generate_series(1, len(words))) AS s(i) GROUP BY 1, 2)
+        SELECT field, term, CASE WHEN records <= 2 THEN 'rare' ELSE 'common' END AS mark
+        FROM counts, total WHERE records <= 2 OR records * 50 > total""",
+    "p6_ngrams": f"""
+        WITH {_DECISION_TERMS},
+        grams AS (SELECT field, decision_no, k AS n, array_to_string(words[i : i + k - 1], ' ') AS term
+                  FROM terms, unnest(generate_series(1, len(words))) AS s(i), unnest([1, 2, 3]) AS t(k) WHERE i + k - 1 <= len(words))
+        SELECT field, term, CAST(n AS INTEGER) AS n, count(*) AS occurrences, count(DISTINCT decision_no) AS records FROM grams GROUP BY 1, 2, 3""",
 }
