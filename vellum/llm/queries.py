@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import frequency, lookalike, packing, splits, tokens
+from vellum.llm import frequency, lookalike, overlap, packing, splits, tokens
 from vellum.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,21 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.groups_by_look(_table(spark, folder, "abbr_records"), "abbr_text", "abbr_no")
 
 
+# Problem 4: overlaps across splits.
+
+
+@_query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of entries that agree across train and the other splits."""
+    return overlap.cross_split_pairs(_table(spark, folder, "dataset_entries"))
+
+
+@_query
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping entries and their links by split and source file."""
+    return overlap.report(_table(spark, folder, "dataset_entries"))
+
+
 # Problem 6: frequency of every term.
 
 
