@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from vellum.plans import nested
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**nested.QUERIES}
+SQL: dict[str, str] = {**nested.SQL}

@@ -26,14 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return a scan of it.
+def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in a folder for each value of ``partition_by`` if given, and return a scan of it.
 
     Used where a frame is read more than once or its lineage must end: the written files
     outlive executors, which a cached or locally checkpointed block does not.
     """
     path = f"{shared_dir(df.sparkSession)}/vellum-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
