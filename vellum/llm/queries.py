@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import frequency, lookalike, overlap, packing, splits, tokens
+from vellum.llm import frequency, language, lookalike, overlap, packing, splits, tokens
 from vellum.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,28 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.groups_by_look(_table(spark, folder, "abbr_records"), "abbr_text", "abbr_no")
 
 
+# Problem 3: missing or wrong language labels.
+
+
+def _language_model(spark: SparkSession, folder: str) -> language.Model:
+    records = _table(spark, folder, "abbr_records")
+    text = F.concat_ws(" ", "context_before", "context_after")
+    return language.fit_on(_table(spark, folder, "lang_samples"), records, F.col("metadata.language"), text, "abbr_no")
+
+
+@_query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Contexts of ``abbr_records`` with six words in a row in a language their label doesn't name."""
+    return language.unnamed_runs(_table(spark, folder, "abbr_records"), _language_model(spark, folder))
+
+
+@_query
+def p3_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every part of every document."""
+    parts = language.language_parts(_table(spark, folder, "documents"), "doc_id", ["text"], _language_model(spark, folder))
+    return parts.withColumn("confidence", F.round("confidence", 4))
+
+
 # Problem 4: overlaps across splits.
 
 
