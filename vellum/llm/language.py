@@ -37,7 +37,9 @@ NAMES = {
     "fra": ["fr", "fra", "fre", "french", "francais", "francaise", "francese", "gallice", "franzosisch"],
     "ita": ["it", "ita", "italian", "italiano", "italiana", "italien", "italice", "italienisch"],
 }
-DIMENSIONS = 1 << 14
+DIMENSIONS = 1 << 15
+#: Weight of a whole word against an n-gram of its letters. Whole words are hashed to the upper half of the dimensions.
+WHOLE_WORD = 3.0
 _LETTER = re.compile(r"[^\W\d_]")
 _MARKS = {0x0303: "n", 0x0304: "n"}  # a stroke over a vowel stands for n or m
 
@@ -66,8 +68,9 @@ def folded(words: list[str]) -> list[str]:
 def features(word: str) -> list[int]:
     """Hashed n-grams of two to four letters of a folded word, with its ends marked, and the whole word."""
     marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)} | {f"={marked}"}
-    return sorted({zlib.crc32(g.encode()) % DIMENSIONS for g in grams})
+    half = DIMENSIONS // 2
+    grams = {zlib.crc32(marked[i : i + n].encode()) % half for n in (2, 3, 4) for i in range(len(marked) - n + 1)}
+    return [*sorted(grams), half + zlib.crc32(marked.encode()) % half]
 
 
 @dataclass
@@ -146,6 +149,7 @@ def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = (), cl
     for t in texts:
         seen[list(set(t))] += 1
     idf = (np.log((1 + len(texts)) / (1 + seen)) + 1).astype(np.float32)
+    idf[DIMENSIONS // 2 :] *= WHOLE_WORD
     row, feat, weight = _tfidf(texts, idf)
     label = np.array([languages.index(lang) for lang, _ in samples])
     centroids, of = [], []
@@ -211,7 +215,7 @@ def _course(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, cost: n
     return last
 
 
-def detect(model: Model, words: pa.Array, change: float = 9.0, at_mark: float = 3.0) -> dict[str, np.ndarray]:
+def detect(model: Model, words: pa.Array, change: float = 5.5, at_mark: float = 3.0) -> dict[str, np.ndarray]:
     """Parts of each row of a batch: row, first (word), words, lang (number, -1 rejected), confidence."""
     rows, codes, tokens = flat_words(words)
     is_word = np.fromiter((bool(_LETTER.search(t)) for t in tokens), bool, len(tokens))
