@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import frequency, language, lookalike, overlap, packing, splits, tokens
+from vellum.llm import frequency, language, lookalike, overlap, packing, splits, subjects, tokens
 from vellum.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,23 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     """How full the containers are."""
     return packing.fill_report(packing.pack_documents(_table(spark, folder, "documents")))
+
+
+# Problem 9: subject areas.
+
+
+def _subject_model(spark: SparkSession, folder: str) -> subjects.Model:
+    return subjects.fit_on(*(_table(spark, folder, t) for t in ("documents", "subject_areas", "subject_terms", "doc_labels")))
+
+
+@_query
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects of every document."""
+    found = subjects.subject_shares(_table(spark, folder, "documents"), _subject_model(spark, folder))
+    return found.where("assigned").select("doc_id", "subject_id")
+
+
+@_query
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus by genre and subject."""
+    return subjects.composition(_table(spark, folder, "documents"), _subject_model(spark, folder), "genre")
