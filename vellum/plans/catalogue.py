@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import nested
+from vellum.plans import nested, suggest, text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**nested.QUERIES}
-SQL: dict[str, str] = {**nested.SQL}
+_MODULES = (text, suggest, nested)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
