@@ -218,11 +218,17 @@ def text_words(text: Column) -> Column:
 
 def fit_on(documents: DataFrame, areas: DataFrame, terms: DataFrame, labels: DataFrame, sample: int = 4000, hand: int = 2500) -> Model:
     """A model fitted on at most ``sample`` documents, those with the lowest hash of ``doc_id``, and calibrated on at most ``hand`` labelled ones."""
-    texts = documents.where("text IS NOT NULL").select("doc_id", "file_path", "source", "genre", "title", "text", F.xxhash64("doc_id").alias("h"))
-    chosen = texts.orderBy("h", "text").limit(sample).select("*", text_words(F.col("text")).alias("words")).drop("text")
-    given = [r.asDict() for r in chosen.collect()]
-    ids = labels.where("doc_id IS NOT NULL AND subject_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject_id").alias("have")).withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(hand)
-    known = texts.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("h", "text").select(text_words(F.col("text")).alias("words"), "have").limit(2 * hand).collect()
+    size = 1 << 30
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    # Half as many again as wanted are asked for by hash, since hashes fall unevenly; only they reach the driver.
+    below = lambda total, most: int(size * min(1.0, 1.5 * most / max(1, total)))
+    texts = documents.where("text IS NOT NULL").select("doc_id", "file_path", "source", "genre", "title", "text", hashed.alias("h"))
+    chosen = texts.where(F.col("h") < below(documents.count(), sample)).select("*", text_words(F.col("text")).alias("words")).drop("text")
+    given = sorted((r.asDict() for r in chosen.collect()), key=lambda d: (d["h"], d["words"]))[:sample]
+    marked = labels.where("doc_id IS NOT NULL AND subject_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject_id").alias("have"))
+    ids = marked.withColumn("h", hashed).where(F.col("h") < below(labels.count(), hand)).drop("h")
+    some = texts.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("have").alias("have"))
+    known = sorted(some.select("doc_id", text_words(F.col("text")).alias("words"), "have").collect())[:hand]
     subjects = sorted(r[0] for r in areas.where("subject_id IS NOT NULL").select("subject_id").distinct().collect())
     seeds = sorted((r[0], r[1]) for r in terms.where("subject_id IS NOT NULL AND trim(term) <> ''").select("subject_id", "term").distinct().collect())
     return fit(given, seeds, [(r["words"], set(r["have"])) for r in known], subjects)
