@@ -34,15 +34,16 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/vellum-{uuid.uuid4().hex}"
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete the files behind frames made by ``materialize``, once nothing will read them."""
+    """Delete the files behind frames made by ``materialize``, once nothing will read them; other frames are passed over."""
     for df in frames:
-        for name in df.inputFiles()[:1]:
-            folder = name.rsplit("/", 1)[0]
-            if "/vellum-" in folder:
-                jvm = df.sparkSession._jvm
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        folder = getattr(df, "_written_to", None)
+        if folder:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
