@@ -1,0 +1,52 @@
+from __future__ import annotations
+
+import random
+import unicodedata
+
+import pytest
+
+from vellum.llm import lookalike as k
+
+
+@pytest.mark.parametrize(
+    "a, b, alike",
+    [
+        ("ｍaneｒ", "maner", True), ("māner", "ma\u0304ner", True), ("māner", "mãner", False), ("mãner", "maner", False), ("ſir", "sir", False), ("yᵉ", "ye", False), ("Mr", "mr", False),
+        ("\u200bco\xadurt\xa0", "court", True), ("yᵉ\u2007court", "yᵉ court", True), ("ꝓﬁt", "ꝓfit", True), ("оffiсе", "office", True), ("Μr", "Mr", True), ("﹩", "$", True), ("ç", "c\u0327", True), ("ç", "c", False),
+        ("", "\u200b ", True), ("a b", "ab", False), ("ꝑ", "p", False), ("ﬅ", "ſt", True), ("æ", "ae", False),
+    ],
+)
+def test_alike(a, b, alike):
+    assert (k.skeleton(a) == k.skeleton(b)) is alike
+    assert k.skeletons([a, b]) == [k.skeleton(a), k.skeleton(b)]
+
+
+def test_reading():
+    assert [k.reading(s) for s in k.skeletons(["MĀNER", "rofireguνifuꝑ", "πνα", "καὶ", "İ"])] == ["māner", "rofireguvifuꝑ", "πνα", "καὶ", "i\u0307"]
+    assert k.skeletons(["a\ue000b", "ｃ"]) == ["a\ue000b", "c"] and k.skeletons([]) == [] and k.skeleton(None) is None
+
+
+def test_skeleton_is_stable():
+    rng = random.Random(2)
+    for _ in range(500):
+        s = "".join(chr(rng.choice([rng.randint(0x20, 0x24F), rng.randint(0x300, 0x5FF), rng.randint(0xFB00, 0xFFEF)])) for _ in range(8))
+        once = k.skeleton(s)
+        assert k.skeleton(once) == once and k.skeleton(unicodedata.normalize("NFC", s)) == once
+
+
+def test_find(spark):
+    forms = spark.createDataFrame([(1, "māner"), (2, "co$t"), (3, None), (4, "māner"), (5, "yᵉ x")], "form_id long, form string")
+    rows = [(1, "ma\u0304ner", "co$t"), (2, "māner", "co＄t"), (3, None, ""), (4, "mãner", " co$t"), (5, "x" * 100_000, "  "), (5, "yᵉ\xa0x", "yᵉ x")]
+    texts = spark.createDataFrame([(*r, "clash") for r in rows], "no long, a string, b string, form string")
+    got = sorted(tuple(r) for r in k.find_lookalikes(texts, forms, ["no"], ["a", "b"]).collect())
+    assert got == [(1, "a", 1), (1, "a", 4), (2, "b", 2), (4, "b", 2), (5, "a", 5)]
+    assert sorted(tuple(r) for r in k.find_lookalikes(texts, forms, ["no"], ["a", "b"], max_forms=1).collect()) == got
+    assert k.find_lookalikes(texts.limit(0), forms, ["no"], ["a"]).count() == 0 and k.find_lookalikes(texts, forms.limit(0), ["no"], ["a"]).count() == 0
+    # A form that isn't plain may look like plain texts.
+    wide = spark.createDataFrame([(9, "ｃo$t")], "form_id long, form string")
+    assert [tuple(r) for r in k.find_lookalikes(texts, wide, ["no"], ["b"]).where("no = 1").collect()] == [(1, "b", 9)]
+
+
+def test_groups(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "ａ"), (3, "a"), (4, "b"), (5, None)], "no long, x string")
+    assert sorted(tuple(r) for r in k.groups_by_look(df, "x", "no").collect()) == [("a", 2, 1, 2), ("ａ", 1, 2, 2)]

@@ -210,14 +210,15 @@ def cross_split_pairs(entries: DataFrame) -> DataFrame:
 
 
 def links(entries: DataFrame) -> DataFrame:
-    """One row for each entry that has a link: ``entry_no``, ``split``, ``file``, ``n_links`` (entries on the other side that agree with it)."""
+    """One row for each entry that has a link: ``entry_no``, ``split``, ``file``, ``n_links`` (entries on the other side that agree with it). A repeated row counts once."""
     members, found = classes(entries)
+    members = members.distinct()
     sizes = members.groupBy("key").agg(F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_eval"))
     pairs = materialize(class_pairs(found))
     one = lambda mine, other, n: pairs.join(sizes.select(F.col("key").alias(other), n), other).groupBy(F.col(mine).alias("key")).agg(F.sum(n).alias("n_links"))
     to_train = members.where(~F.col("train")).join(one("eval_key", "train_key", "n_train"), "key")
     to_eval = members.where("train").join(one("train_key", "eval_key", "n_eval"), "key")
-    about = entries.select("entry_no", "split", file_key(F.col("source.file")).alias("file"))
+    about = entries.select("entry_no", "split", file_key(F.col("source.file")).alias("file")).distinct()
     return to_train.unionByName(to_eval).select("entry_no", "n_links").join(about, "entry_no").select("entry_no", "split", "file", "n_links")
 
 

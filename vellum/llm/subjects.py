@@ -234,26 +234,28 @@ def fit_on(documents: DataFrame, areas: DataFrame, terms: DataFrame, labels: Dat
     return fit(given, seeds, [(r["words"], set(r["have"])) for r in known], subjects)
 
 
-def subject_shares(documents: DataFrame, model: Model) -> DataFrame:
+def subject_shares(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``subject_id``, ``share``, ``assigned``: every subject of each row with a share above 0.
 
-    A null, empty or blank text has none. Repeated rows repeat. Several subjects may be assigned, or none.
+    A null, empty or blank text has none. Repeated rows repeat. Several subjects may be assigned, or none. The columns ``carry``
+    go along.
     """
+    kinds, kept = dict(documents.dtypes), ["doc_id", *carry]
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, _ = shares(shared.value, batch.column(1))
+            found, _ = shares(shared.value, batch.column(len(kept)))
             row, k = np.nonzero(found)
             ids = np.array(shared.value.subjects, np.int64)
             share = found[row, k]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(ids[k]), pa.array(share), pa.array(share >= shared.value.shares[k])], ["doc_id", "subject_id", "share", "assigned"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(len(kept))), pa.array(ids[k]), pa.array(share), pa.array(share >= shared.value.shares[k])], [*kept, "subject_id", "share", "assigned"])
 
-    return documents.select("doc_id", text_words(F.col("text")).alias("words")).mapInArrow(run, "doc_id long, subject_id long, share double, assigned boolean")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept)
+    return documents.select(*kept, text_words(F.col("text")).alias("words")).mapInArrow(run, f"{schema}, subject_id long, share double, assigned boolean")
 
 
 def composition(documents: DataFrame, model: Model, key: str) -> DataFrame:
     """Documents and summed shares of each subject, by the values of ``key``, for measuring a corpus by subject."""
-    about = subject_shares(documents, model)
-    keyed = documents.select("doc_id", F.col(key).alias("value"))
-    return about.join(keyed, "doc_id").groupBy("value", "subject_id").agg(F.count_if("assigned").alias("documents"), F.round(F.sum("share"), 6).alias("texts"))
+    about = subject_shares(documents.select("doc_id", "text", F.col(key).alias("value")), model, ("value",))
+    return about.groupBy("value", "subject_id").agg(F.count_if("assigned").alias("documents"), F.round(F.sum("share"), 6).alias("texts"))

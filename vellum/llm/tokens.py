@@ -49,13 +49,18 @@ class TokenAutomaton:
         self.lost: dict[tuple[int, int], int] = {}
         self._known: dict[tuple[int, int], bool] = {}
         labels = {self.bytes[b]: b for b in range(256)}
+        live = [True] * 256
         for k, (u, v) in enumerate(merges, start=256):
             self.left.append(u)
             self.right.append(v)
             self.bytes.append(self.bytes[u] + self.bytes[v])
-            if self._arc(u, v, k):  # else no word ever comes to this pair
+            # Else no word ever comes to this pair, as one of its parts is never made or never stands beside the other.
+            if live[u] and live[v] and self._arc(u, v, k):
                 self.lost.setdefault((u, v), k)
                 labels[self.bytes[k]] = k
+                live.append(True)
+            else:
+                live.append(False)
         self.labels = labels
         self.longest = max(map(len, labels))
         self.words: dict[str, list[int]] = {}
