@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.lookalike import term_key
-from vellum.storage import materialize
+from vellum.storage import materialize, release
 
 BLANK = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 SPLITS = ("train", "validation", "test")
@@ -42,7 +42,9 @@ def propagate(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     ``edges``: ``file``, ``abbr``, repeated rows allowed. Files tied to no other are left out; an edge
     with a null ties nothing. No edges give no rows.
     """
-    live = materialize(_unsettled(edges.where("file IS NOT NULL AND abbr IS NOT NULL").select(F.col("file").alias("label"), "abbr").distinct()))
+    given = materialize(edges.where("file IS NOT NULL AND abbr IS NOT NULL").select(F.col("file").alias("label"), "abbr").distinct())
+    live = materialize(_unsettled(given))
+    release(given)
     labels = None
     for _ in range(max_rounds):
         if live.isEmpty():
@@ -51,9 +53,11 @@ def propagate(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         step = live.join(low, "abbr").groupBy("label").agg(F.min("low").alias("low"))
         hop = step.select(F.col("label").alias("low"), F.col("low").alias("lower"))
         step = materialize(step.join(hop, "low", "left").select("label", F.coalesce("lower", "low").alias("to")))
-        labels = step.select(F.col("label").alias("file"), F.col("to").alias("label")) if labels is None else labels.join(step, "label", "left").select("file", F.coalesce("to", "label").alias("label"))
-        labels = materialize(labels)
-        live = materialize(_unsettled(live.join(step, "label").select(F.col("to").alias("label"), "abbr").distinct()))
+        moved = step.select(F.col("label").alias("file"), F.col("to").alias("label")) if labels is None else labels.join(step, "label", "left").select("file", F.coalesce("to", "label").alias("label"))
+        moved = materialize(moved)
+        left = materialize(_unsettled(live.join(step, "label").select(F.col("to").alias("label"), "abbr").distinct()))
+        release(step, live, *([] if labels is None else [labels]))
+        labels, live = moved, left
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
