@@ -12,3 +12,13 @@ MAX_BROADCAST_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is, so that joins shuffle it."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(source: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as there are cores, for work that takes far longer than reading its rows.
+
+    A scan that already has as many, as any large one, is left alone. Only for plain scans: counting the partitions of
+    a plan with a shuffle would run it.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source if source.rdd.getNumPartitions() >= cores else source.repartition(cores)

@@ -11,7 +11,7 @@ TEI = "http://www.tei-c.org/ns/1.0"
 XML = "http://www.w3.org/XML/1998/namespace"
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Node:
     """An element, or with ``kind`` other than ``element`` a comment or instruction, whose content is ``text``.
 

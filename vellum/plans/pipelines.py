@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.config import Config
 from vellum.operators import dataset, decisions, replace, suggest, tei, xmlpatch
 from vellum.operators.providers import ChatProvider, SuggestionProvider
+from vellum.operators.sizes import spread
 from vellum.sources import files, sinks
 from vellum.storage import materialize
 
@@ -29,7 +30,7 @@ def provider(config: Config) -> SuggestionProvider | None:
 
 def scan(spark: SparkSession, config: Config, path: str) -> DataFrame:
     """Scanned documents of a file or folder, kept so that no document is parsed twice."""
-    documents = files.xml_files(spark, path)
+    documents = spread(files.xml_files(spark, path))
     return materialize(tei.scan_documents(documents, bool(config.get("settings", "process_g_elements", True))))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators import tei, xmlpatch
+from vellum.operators.sizes import spread
 from vellum.plans.tables import MACRON_TILDE, sql_markers, sql_period, sql_replace, sql_strip, sql_words, table
 
 
@@ -25,7 +26,7 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
     The paragraph holds both contexts around an ``abbr``, a ``g``, or an ``am`` in an ``abbr``, by the record's kind; expanded ones stand in a ``choice``.
     A record without ``abbr_id`` has a document that breaks off.
     """
-    r = table(spark, folder, "abbr_records")
+    r = spread(table(spark, folder, "abbr_records").select("abbr_no", "kind", "abbr_id", "abbr_text", "context_before", "context_after", "already_expanded", "metadata"))
     m = lambda f: _safe(F.col(f"metadata.{f}"))
     terms = F.array_join(F.transform(F.split(m("genre"), ", "), lambda t: F.concat(F.lit("<term>"), t, F.lit("</term>"))), "")
     header = F.concat(
