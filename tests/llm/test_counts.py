@@ -40,7 +40,7 @@ def test_marks_of_decisions(spark):
     once = f.decisions_once(df)
     assert once.count() == 109
     counts = f.count_ngrams(f.decision_terms(once))
-    got = {(r["field"], r["term"]): (r["occurrences"], r["records"], r["mark"]) for r in f.mark(counts, once.count(), common=0.05).collect()}
+    got = {(r["field"], r["term"]): (r["occurrences"], r["records"], r["mark"]) for r in f.mark(counts, once.count(), common=20).collect()}
     assert got == {("abbreviation", "aā"): (101, 101, "common"), ("abbreviation", "q"): (1, 1, "rare"), ("abbreviation", "n"): (2, 2, "rare"), ("abbreviation", "ok"): (3, 3, None), ("expansion", "the"): (101, 101, "common"), ("expansion", "man"): (102, 102, "common"), ("expansion", "x"): (2, 1, "rare")}
 
 

@@ -119,12 +119,12 @@ def count_ngrams(records: DataFrame, sigma: int = 1, hot: int = 100_000) -> Data
     return found.withColumn("term", F.replace("term", F.lit(_SEP), F.lit(" ")))
 
 
-def mark(counts: DataFrame, total: int, rare: int = 2, common: float = 1 / 50) -> DataFrame:
-    """``counts`` with ``mark``: ``rare`` in at most ``rare`` records, ``common`` in more than that share of ``total``, else null.
+def mark(counts: DataFrame, total: int, rare: int = 2, common: int = 50) -> DataFrame:
+    """``counts`` with ``mark``: ``rare`` in at most ``rare`` records, ``common`` in more than one in ``common`` of ``total``, else null.
 
-    ``rare`` goes first where both hold, in collections of fewer than ``rare / common`` records.
+    ``rare`` goes first where both hold, in collections of fewer than ``rare * common`` records.
     """
-    rule = F.when(F.col("records") <= rare, "rare").when(F.col("records") > F.lit(total * float(common)), "common")
+    rule = F.when(F.col("records") <= rare, "rare").when(F.col("records") * common > total, "common")
     return counts.withColumn("mark", rule)
 
 
