@@ -32,10 +32,10 @@ from vellum.llm.splits import BLANK
 
 # Codes and names of each language, in lower case without marks.
 NAMES = {
-    "eng": ["en", "eng", "english", "anglais", "inglese", "anglice", "anglicus", "englisch"],
-    "lat": ["la", "lat", "latin", "latina", "latine", "latino", "latein"],
-    "fra": ["fr", "fra", "fre", "french", "francais", "francaise", "francese", "gallice", "franzosisch"],
-    "ita": ["it", "ita", "italian", "italiano", "italiana", "italien", "italice", "italienisch"],
+    "eng": ["en", "eng", "english", "anglais", "inglese", "anglice", "anglicus", "anglica", "engl", "englisch"],
+    "lat": ["la", "lat", "latin", "latina", "latine", "latino", "latinus", "latein"],
+    "fra": ["fr", "fra", "fre", "french", "francais", "francaise", "francois", "francoise", "francese", "gallice", "gallica", "franzosisch"],
+    "ita": ["it", "ita", "italian", "italiano", "italiana", "italien", "italienne", "italice", "italica", "ital", "italienisch"],
 }
 DIMENSIONS = 1 << 15
 #: Weight of a whole word against an n-gram of its letters. Whole words are hashed to the upper half of the dimensions.
