@@ -32,9 +32,9 @@ def best_decisions(suggested: DataFrame, order: str) -> DataFrame:
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
-    """The last decision of each ``abbr_key``, by time and number, with ``first_at``, the time of the first."""
+    """The last decision of each ``abbr_key``, by time and number, with ``first_no``, the number of the first."""
     kept = last_by_key(decisions, "abbr_key", ["decided_at", "decision_no", "loaded_at"])
-    return kept.withColumn("first_at", F.col("first_order.decided_at")).drop("first_order")
+    return kept.withColumn("first_no", F.col("first_order.decision_no")).drop("first_order")
 
 
 def decision_entries(decisions: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def chatml_format(spark: SparkSession, folder: str) -> DataFrame:
 
 def decisions_latest(spark: SparkSession, folder: str) -> DataFrame:
     kept = decisions.latest_decisions(table(spark, folder, "user_decisions").drop("metadata"))
-    return kept.select("abbr_key", "decision_no", "expansion", "confidence", "file_path", "first_at")
+    return kept.select("abbr_key", "decision_no", "expansion", "confidence", "file_path", "first_no")
 
 
 def decision_entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,8 +178,8 @@ SQL = {
                       ELSE replace(abbreviation, '$', 'n') END AS content
         FROM dataset_entries, unnest(generate_series(0, 2)) AS s(i) WHERE abbreviation IS NOT NULL""",
     "decisions_latest": """
-        WITH r AS (SELECT *, row_number() OVER (PARTITION BY abbr_key ORDER BY decided_at DESC, decision_no DESC, loaded_at DESC) AS rn, min(decided_at) OVER (PARTITION BY abbr_key) AS first_at FROM user_decisions)
-        SELECT abbr_key, decision_no, expansion, confidence, file_path, first_at FROM r WHERE rn = 1""",
+        WITH r AS (SELECT *, row_number() OVER (PARTITION BY abbr_key ORDER BY decided_at DESC, decision_no DESC, loaded_at DESC) AS rn, first_value(decision_no) OVER (PARTITION BY abbr_key ORDER BY decided_at, decision_no, loaded_at) AS first_no FROM user_decisions)
+        SELECT abbr_key, decision_no, expansion, confidence, file_path, first_no FROM r WHERE rn = 1""",
     "decision_entries": f"""
         WITH a AS (SELECT *, coalesce(nullif(abbreviation, ''), abbr_key) AS abbr FROM user_decisions)
         SELECT abbr_key, abbr AS abbreviation, expansion, {_T('context_before')} || ' ' || {_T('abbr')} || ' ' || {_T('context_after')} AS context, {_T('file_path')} AS file, confidence, source AS source_type,

@@ -28,7 +28,7 @@ def normalize_basic(spark: SparkSession, folder: str) -> DataFrame:
 def period_abbrev(spark: SparkSession, folder: str) -> DataFrame:
     """Decisions' expansions with a stop put before the last two letters, normalized."""
     dotted = F.regexp_replace("expansion", r"^(.+)(..)$", "$1.$2")
-    return table(spark, folder, "user_decisions").select("decision_no", "loaded_at", t.normalize_abbreviation(dotted).alias("normalized"))
+    return table(spark, folder, "user_decisions").select("decision_no", t.normalize_abbreviation(dotted).alias("normalized"))
 
 
 def latin_patterns(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +58,7 @@ def lm_prompt(spark: SparkSession, folder: str) -> DataFrame:
 def lm_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Expansions in answers of commas, blanks and the words of each decision."""
     answer = F.concat(F.regexp_replace(F.coalesce("expansion", F.lit("")), " ", " , ,"), F.lit(" , "), F.coalesce("abbreviation", F.lit("")), F.lit("\n"))
-    parsed = table(spark, folder, "user_decisions").select("decision_no", "loaded_at", F.posexplode(t.parse_answer(answer)).alias("at", "expansion"))
+    parsed = table(spark, folder, "user_decisions").select("decision_no", F.posexplode(t.parse_answer(answer)).alias("at", "expansion"))
     return parsed.withColumn("at", (F.col("at") + 1).cast("long"))
 
 
@@ -110,7 +110,7 @@ SQL = {
                             ELSE {sql_markers('text')} END AS normalized FROM documents""",
     "normalize_full_chain": f"SELECT doc_id, {sql_markers(f'''replace({_STROKED}, '{_QUE}', 'q$')''')} AS normalized FROM documents",
     "normalize_basic": f"SELECT abbr_no, {sql_period(sql_replace(chr(39).join(('regexp_replace(abbr_text, ', '([A-Za-z])̄', ', ', chr(92) + '1$', ', ', 'g', ')')), MACRON_TILDE))} AS normalized FROM abbr_records",
-    "period_abbrev": f"SELECT decision_no, loaded_at, {sql_markers('''regexp_replace(expansion, '^(.+)(..)$', '%s.%s')''' % (chr(92) + '1', chr(92) + '2'))} AS normalized FROM user_decisions",
+    "period_abbrev": f"SELECT decision_no, {sql_markers('''regexp_replace(expansion, '^(.+)(..)$', '%s.%s')''' % (chr(92) + '1', chr(92) + '2'))} AS normalized FROM user_decisions",
     "latin_patterns": f"""
         WITH texts AS (SELECT abbr_no, normalized_form || e AS text FROM abbr_records, unnest(['', 'b;', 'q;', 'p;']) AS x(e)),
         made AS (SELECT abbr_no, text, list_distinct(list_filter([
@@ -128,9 +128,9 @@ SQL = {
                || 'Additional information:' || chr(10) || CASE WHEN metadata IS NULL THEN '' ELSE 'Language: ' || {_TEXT('metadata.language')} || chr(10) || 'Title: ' || {_TEXT('metadata.title')}
                || chr(10) || 'Date: ' || {_TEXT('metadata.date')} || chr(10) || 'Source: ' || {_TEXT('metadata.source')} || chr(10) END AS prompt FROM abbr_records""",
     "lm_parse": f"""
-        WITH a AS (SELECT decision_no, loaded_at, replace({_TEXT('expansion')}, ' ', ' , ,') || ' ,' || chr(8201) || {_TEXT('abbreviation')} || chr(10) AS answer FROM user_decisions),
-        p AS (SELECT decision_no, loaded_at, list_filter(list_transform(string_split(answer, ','), lambda x: {sql_strip('x')}), lambda x: x <> '') AS xs FROM a)
-        SELECT decision_no, loaded_at, i AS at, xs[i] AS expansion FROM p, unnest(generate_series(1, len(xs))) AS s(i)""",
+        WITH a AS (SELECT decision_no, replace({_TEXT('expansion')}, ' ', ' , ,') || ' ,' || chr(8201) || {_TEXT('abbreviation')} || chr(10) AS answer FROM user_decisions),
+        p AS (SELECT decision_no, list_filter(list_transform(string_split(answer, ','), lambda x: {sql_strip('x')}), lambda x: x <> '') AS xs FROM a)
+        SELECT decision_no, i AS at, xs[i] AS expansion FROM p, unnest(generate_series(1, len(xs))) AS s(i)""",
     "context_window_words": f"""
         SELECT abbr_no, array_to_string({sql_words('context_before')}[-5:], ' ') AS words_before, array_to_string({sql_words('context_after')}[:5], ' ') AS words_after FROM abbr_records""",
     "display_token": f"""
