@@ -23,7 +23,9 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    from vellum.session import let_workers_import
+
+    yield let_workers_import(session)
 
 
 @pytest.fixture

@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def let_workers_import(spark: SparkSession) -> SparkSession:
+    """Put this package's folder on the import path of Python workers, for sessions that were started elsewhere.
+
+    The folder must be readable by executors at the same path; where it isn't, the package goes to them by ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark
+
+
 def local_session(cores: int | str = 8, app: str = "vellum") -> SparkSession:
     """A local session with the settings tests and the bench use."""
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -20,3 +34,4 @@ def local_session(cores: int | str = 8, app: str = "vellum") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("VELLUM_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+    return let_workers_import(session)
