@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
 from collections.abc import Callable
 
 from vellum.config import Config, ConfigError, missing_keys, setup_logging
@@ -43,6 +44,8 @@ def menu(spark, config: Config, source: str, output: str, ask: Callable[[str], s
         choice = ask("Choice: ").strip()
         if choice == "1":
             decided = pipelines.materialize(pipelines.decide(spark, config, source))
+            stamp = time.strftime("%Y%m%d_%H%M%S")
+            pipelines.sinks.save_decisions(decided, pipelines.decisions.decision_entries(decided), output, stamp)
             say(f"{decided.count()} decisions")
         elif choice == "2":
             while word := ask("Word, or nothing to go back: ").strip():

@@ -199,10 +199,11 @@ def normalized_form(kind: Column, text: Column, formed: Column, on: bool = True,
 def abbreviations(scanned: DataFrame, include_expanded: bool = False, normalize: bool = True) -> DataFrame:
     """One row for each abbreviation of scanned documents; those already expanded only with ``include_expanded``.
 
-    ``word`` is the one word around a stroke, for looking it up instead of the whole ``normalized_form``.
+    ``number`` and ``of`` count them within their document. ``normalized_word`` is the one word around a stroke, for looking it up
+    instead of the whole ``normalized_form``.
     """
-    rows = scanned.select("file_path", "metadata", F.explode("found").alias("a")).select("file_path", "a.*", "metadata")
-    rows = rows if include_expanded else rows.where("NOT already_expanded")
+    wanted = F.col("found") if include_expanded else F.filter("found", lambda a: ~a["already_expanded"])
+    rows = scanned.select("file_path", "metadata", F.size(wanted).alias("of"), F.posexplode(wanted).alias("at", "a")).select("file_path", (F.col("at") + 1).alias("number"), "of", "a.*", "metadata")
     form = normalized_form(F.col("kind"), F.col("abbr_text"), F.col("formed"), normalize)
     return rows.withColumn("normalized_form", form).withColumn("normalized_word", F.coalesce("word", form)).drop("formed", "word")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions.text import combined_context
+from vellum.functions.text import combined_context, stamp_name
 from vellum.operators import dataset as d
 from vellum.operators import decisions, replace
 from vellum.plans.tables import MACRON_TILDE, REST, sql_replace, table
@@ -85,6 +85,11 @@ def decisions_latest(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("abbr_key", "decision_no", "expansion", "confidence", "file_path", "first_no")
 
 
+def decision_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The name of the file each decision would be saved in."""
+    return table(spark, folder, "user_decisions").select("decision_no", stamp_name(F.col("decided_at"), "user_decisions").alias("file_name"))
+
+
 def decision_entries(spark: SparkSession, folder: str) -> DataFrame:
     made = decisions.decision_entries(table(spark, folder, "user_decisions"))
     return made.select("abbr_key", "abbreviation", "expansion", combined_context(F.col("context_before"), F.col("abbreviation"), F.col("context_after")).alias("context"), "source.file", "source.confidence", "source.source_type", "metadata.title")
@@ -126,7 +131,7 @@ def replaced_texts(spark: SparkSession, folder: str) -> DataFrame:
     return replace.whole_texts(_done(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (context_sufficient, entry_projection, entry_combined_context, validate_required, dedup_first_wins, validation_counts, split_ratio, split_stratified, split_by_language, split_shuffled, split_counts, chatml_format, decisions_latest, decision_entries, text_lines, unicode_delete, unicode_replace, unicode_pipeline, replacement_log, replacement_summary, replaced_texts)}
+QUERIES = {f.__name__: f for f in (context_sufficient, entry_projection, entry_combined_context, validate_required, dedup_first_wins, validation_counts, split_ratio, split_stratified, split_by_language, split_shuffled, split_counts, chatml_format, decisions_latest, decision_files, decision_entries, text_lines, unicode_delete, unicode_replace, unicode_pipeline, replacement_log, replacement_summary, replaced_texts)}
 
 _T = lambda x: f"coalesce({x}, '')"
 _ENOUGH = f"(length({_T('context_before')}) >= 20 OR length({_T('context_after')}) >= 20)"
@@ -180,6 +185,7 @@ SQL = {
     "decisions_latest": """
         WITH r AS (SELECT *, row_number() OVER (PARTITION BY abbr_key ORDER BY decided_at DESC, decision_no DESC, loaded_at DESC) AS rn, first_value(decision_no) OVER (PARTITION BY abbr_key ORDER BY decided_at, decision_no, loaded_at) AS first_no FROM user_decisions)
         SELECT abbr_key, decision_no, expansion, confidence, file_path, first_no FROM r WHERE rn = 1""",
+    "decision_files": "SELECT decision_no, 'user_decisions_' || strftime(decided_at, '%Y%m%d_%H%M%S') AS file_name FROM user_decisions",
     "decision_entries": f"""
         WITH a AS (SELECT *, coalesce(nullif(abbreviation, ''), abbr_key) AS abbr FROM user_decisions)
         SELECT abbr_key, abbr AS abbreviation, expansion, {_T('context_before')} || ' ' || {_T('abbr')} || ' ' || {_T('context_after')} AS context, {_T('file_path')} AS file, confidence, source AS source_type,

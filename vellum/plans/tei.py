@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import tei, xmlpatch
+from vellum.operators import dataset, suggest, tei, xmlpatch
 from vellum.operators.sizes import spread
+from vellum.plans import dataset as dataset_plans
+from vellum.plans import pipelines
+from vellum.plans import suggest as suggest_plans
 from vellum.plans.tables import MACRON_TILDE, sql_markers, sql_period, sql_replace, sql_strip, sql_words, table
 
 
@@ -65,6 +68,25 @@ def tei_word_context(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("abbr_no", "words_before", "words_after")
 
 
+def tei_enumerated(spark: SparkSession, folder: str) -> DataFrame:
+    """Each abbreviation's place among those of its document."""
+    found = _number(tei.abbreviations(tei.scan_documents(sources(spark, folder))))
+    return found.select("abbr_no", "kind", F.col("number").cast("long").alias("number"), F.col("of").cast("long").alias("of"))
+
+
+def older_g_form(spark: SparkSession, folder: str) -> DataFrame:
+    """What the earlier rule makes of a stroke and of the que mark after each context."""
+    r = table(spark, folder, "abbr_records")
+    return r.select("abbr_no", tei.older_form(F.col("context_before"), F.lit(tei.STROKE)).alias("stroke"), tei.older_form(F.col("context_before"), F.lit(tei.QUE)).alias("que"))
+
+
+def statistics_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of documents, suggestions and entries as rows."""
+    found = suggest.suggestions(table(spark, folder, "abbr_records").select("normalized_form", "abbr_text", "context_before"), table(spark, folder, "solution_dictionary"))
+    parts = [("documents", tei.statistics(tei.scan_documents(sources(spark, folder)))), ("suggestions", suggest.statistics(found)), ("entries", dataset.validation_counts(table(spark, folder, "dataset_entries")))]
+    return pipelines.reports(parts)
+
+
 def tei_stats(spark: SparkSession, folder: str) -> DataFrame:
     return tei.statistics(tei.scan_documents(sources(spark, folder)))
 
@@ -91,7 +113,7 @@ def tei_expand_choice(spark: SparkSession, folder: str) -> DataFrame:
     return _patched(spark, folder, use_choice=True, add_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (tei_extract, tei_metadata, tei_word_context, tei_stats, tei_malformed_isolated, tei_expand, tei_expand_choice)}
+QUERIES = {f.__name__: f for f in (tei_extract, tei_metadata, tei_word_context, tei_stats, tei_malformed_isolated, tei_expand, tei_expand_choice, tei_enumerated, older_g_form, statistics_report)}
 
 _R = f"""r AS (SELECT abbr_no, kind, already_expanded AS done, abbr_id IS NOT NULL AS whole, coalesce(abbr_text, '') AS t, {sql_strip("coalesce(abbr_text, '')")} AS ts,
                       coalesce(context_before, '') AS b, coalesce(context_after, '') AS a, {sql_strip("coalesce(context_before, '')")} AS bs, {sql_strip("coalesce(context_after, '')")} AS "as",
@@ -141,4 +163,21 @@ SQL = {
         WITH {_R} SELECT abbr_no, NOT whole AS malformed, whole AS valid_tei, CAST(CASE WHEN NOT whole THEN 0 WHEN kind = 'am' THEN 2 ELSE 1 END AS BIGINT) AS found FROM r""",
     "tei_expand": _expand_sql(False),
     "tei_expand_choice": _expand_sql(True),
+    "tei_enumerated": f"""
+        WITH {_R}, {_FOUND} SELECT abbr_no, kind, row_number() OVER (PARTITION BY abbr_no ORDER BY kind) AS number, count(*) OVER (PARTITION BY abbr_no) AS of FROM e WHERE NOT done""",
+    "older_g_form": f"""
+        WITH {_R} SELECT abbr_no, CASE WHEN rtrim(bs) = '' THEN 'm$' ELSE right(bs, 1) || '$' END AS stroke, 'q$' AS que FROM r""",
 }
+
+
+def _long_sql(part: str, sql: str, metrics: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, '{m}' AS metric, CAST({m} AS BIGINT) AS value FROM ({sql})" for m in metrics)
+
+
+SQL["statistics_report"] = " UNION ALL ".join(
+    [
+        _long_sql("documents", SQL["tei_stats"], ["documents_processed", "abbreviations_found", "already_expanded", "normalized_abbr", "malformed_abbr"]),
+        _long_sql("suggestions", suggest_plans.SQL["suggestion_stats"], ["total_suggestions", "dictionary_matches", "pattern_matches", "wordnet_suggestions", "lm_suggestions", "failed_abbreviations"]),
+        _long_sql("entries", dataset_plans.SQL["validation_counts"], ["total_entries", "skipped_entries", "duplicate_entries"]),
+    ]
+)

@@ -83,6 +83,12 @@ def save_splits(parted: DataFrame, folder: str, formatted: DataFrame | None = No
         formatted.write.mode("overwrite").json(f"{folder}/train_formatted")
 
 
+def save_decisions(decided: DataFrame, entries: DataFrame, folder: str, stamp: str) -> None:
+    """Decisions, and the entries made of them, each under a name with the moment. ``decided`` is read twice, so it should be a table."""
+    decided.write.mode("overwrite").json(f"{folder}/user_decisions_{stamp}")
+    entries.write.mode("overwrite").json(f"{folder}/datasets/expansion_dataset_{stamp}")
+
+
 def save_documents(patched: DataFrame, folder: str) -> DataFrame:
     """Write each document (``file_path``, ``xml``) into a shared folder under its own name; ``file_path``, ``saved`` of each.
 
