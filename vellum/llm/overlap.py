@@ -2,8 +2,9 @@
 
 Method: exact prefix-filter bipartite join on rare shingles. Two texts agree when the longest common
 subsequence of their words has at least five sixths of the words of the longer one. Every such pair
-shares most of its word pairs (shingles of two words, equal ones numbered), so the rarest few of each text
-must meet; how many, follows from the number of words alone. Evaluation prefixes are the index,
+shares most of its word pairs (shingles of two words, equal ones numbered), so several of the rarest of each text
+must meet; how many are to be looked at follows from the number of words alone. A few more than the least are taken, and as
+many more must be shared, which chance meetings in a large group seldom do. Evaluation prefixes are the index,
 training prefixes probe it, lengths and positions in the prefix rule out more, and whatever is left is
 verified on the whole texts. Nothing is capped, so no pair is lost.
 
@@ -36,6 +37,8 @@ from vellum.storage import materialize
 #: Numerator and denominator of the share of words that must agree.
 SHARE = (5, 6)
 SKETCH = 1 << 18
+#: Shingles taken beyond the least prefix; a pair must then share one more than these within the prefixes.
+EXTRA = 2
 
 
 class _WordsOnly(dict):
@@ -118,7 +121,7 @@ def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], sketch) -> Iterator[pa.RecordBatch]:
-    """(token, cid, n, pos, train, eval): the rarest shingles of each class, as many as must meet."""
+    """(token, cid, n, pos, train, eval): the rarest shingles of each class, so many that enough of them must meet."""
     longest = 1024
     table = np.array([breakable(k) for k in range(longest)])
     for batch in batches:
@@ -138,7 +141,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sketch) -> Iterator[pa.RecordBa
         pos = np.arange(len(row)) - start[row] if len(row) else row
         # A text of fewer than five words agrees with no other than its equals.
         most = np.where(n < longest, table[np.minimum(n, longest - 1)], [breakable(int(k)) if k >= longest else 0 for k in n])
-        keep = (pos <= most[row]) & (n[row] >= 5) if len(row) else np.zeros(0, bool)
+        keep = (pos <= most[row] + EXTRA) & (n[row] >= 5) if len(row) else np.zeros(0, bool)
         row = row[keep]
         take = lambda k: batch.column(k).take(pa.array(row))
         yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), take(0), pa.array(n[row].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), take(3), take(4)], ["token", "cid", "n", "pos", "train", "eval"])
@@ -182,7 +185,9 @@ def class_pairs(found: DataFrame) -> DataFrame:
     # Shingles that must be shared, and those that still can be from these two positions on.
     must = longer - 1 - (longer - agree) * 2 - (shorter - agree)
     can = F.least(F.col("n_e") - 1 - F.col("p_e"), F.col("n_t") - 1 - F.col("p_t"))
-    candidates = met.where((shorter >= agree) & (can >= must)).select("e", "t").distinct()
+    # The first shared shingle leaves room for all that must follow, each later one for one less.
+    together = met.where((shorter >= agree) & (can >= must - EXTRA)).groupBy("e", "t").agg(F.count("*").alias("shared"), F.min(must).alias("must"))
+    candidates = together.where(F.col("shared") >= F.least("must", F.lit(EXTRA + 1))).select("e", "t")
     text = lambda name: found.select(F.col("cid").alias(name), F.col("words").alias(f"w_{name}"), F.col("key").alias(f"k_{name}"))
     judged = candidates.join(text("e"), "e").join(text("t"), "t").select("w_e", "w_t", F.col("k_e").alias("eval_key"), F.col("k_t").alias("train_key"))
     near = judged.mapInPandas(_verify, "eval_key binary, train_key binary")
