@@ -121,7 +121,7 @@ def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], sketch) -> Iterator[pa.RecordBatch]:
-    """(token, cid, n, pos, train, eval): the rarest shingles of each class, so many that enough of them must meet."""
+    """(token, cid, n, pos): the rarest shingles of each class, so many that enough of them must meet."""
     longest = 1024
     table = np.array([breakable(k) for k in range(longest)])
     for batch in batches:
@@ -143,8 +143,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sketch) -> Iterator[pa.RecordBa
         most = np.where(n < longest, table[np.minimum(n, longest - 1)], [breakable(int(k)) if k >= longest else 0 for k in n])
         keep = (pos <= most[row] + EXTRA) & (n[row] >= 5) if len(row) else np.zeros(0, bool)
         row = row[keep]
-        take = lambda k: batch.column(k).take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), take(0), pa.array(n[row].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), take(3), take(4)], ["token", "cid", "n", "pos", "train", "eval"])
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["token", "cid", "n", "pos"])
 
 
 def classes(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,8 +176,11 @@ def class_pairs(found: DataFrame) -> DataFrame:
     counts = np.zeros(SKETCH, np.int64)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     sketch = spark.sparkContext.broadcast(counts)
-    prefixes = found.select("cid", words.alias("words"), "abbr", "train", "eval").mapInArrow(lambda it: _prefixes(it, sketch), "token long, cid long, n int, pos int, train boolean, eval boolean")
-    side = lambda flag, name: prefixes.where(flag).select("token", F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("pos").alias(f"p_{name}"))
+
+    def side(flag: str, name: str) -> DataFrame:
+        prefixes = found.where(flag).select("cid", words.alias("words"), "abbr").mapInArrow(lambda it: _prefixes(it, sketch), "token long, cid long, n int, pos int")
+        return prefixes.select("token", F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("pos").alias(f"p_{name}"))
+
     met = side("eval", "e").join(side("train", "t"), "token").where("e <> t")
     longer, shorter = F.greatest("n_e", "n_t"), F.least("n_e", "n_t")
     agree = F.ceil(longer * F.lit(SHARE[0]) / F.lit(SHARE[1]))
