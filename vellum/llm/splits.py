@@ -6,7 +6,8 @@ the intended one.
 
 Propagation works on distinct edges only and contracts them: after a round an edge carries the label
 of its file instead of the file, equal edges fall together, and an abbreviation all of whose files bear one
-label is settled and dropped. Rounds end when no edge is left. Lineage is cut by a table in the
+label is settled and dropped. Within a round labels are followed to their end by doubling, so that a long chain of files takes few
+rounds. Rounds end when no edge is left. Lineage is cut by a table in the
 shared folder, and only row counts reach the driver.
 """
 
@@ -50,17 +51,28 @@ def propagate(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if live.isEmpty():
             return labels if labels is not None else live.select(F.col("label").alias("file"), "label")
         low = live.groupBy("abbr").agg(F.min("label").alias("low"))
-        step = live.join(low, "abbr").groupBy("label").agg(F.min("low").alias("low"))
-        hop = step.select(F.col("label").alias("low"), F.col("low").alias("lower"))
-        step = materialize(step.join(hop, "low", "left").select("label", F.coalesce("lower", "low").alias("to")))
-        moved = step.select(F.col("label").alias("file"), F.col("to").alias("label")) if labels is None else labels.join(step, "label", "left").select("file", F.coalesce("to", "label").alias("label"))
+        step = _roots(materialize(live.join(low, "abbr").groupBy("label").agg(F.min("low").alias("to")).where("to < label")))
+        if labels is None:
+            labels = live.select(F.col("label").alias("file"), "label").distinct()
+        moved = labels.join(step, "label", "left").select("file", F.coalesce("to", "label").alias("label"))
         moved = materialize(moved)
-        left = materialize(_unsettled(live.join(step, "label").select(F.col("to").alias("label"), "abbr").distinct()))
-        release(step, live, *([] if labels is None else [labels]))
+        left = materialize(_unsettled(live.join(step, "label", "left").select(F.coalesce("to", "label").alias("label"), "abbr").distinct()))
+        release(step, live, labels)
         labels, live = moved, left
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
+def _roots(step: DataFrame) -> DataFrame:
+    """``label``, ``to`` with every pointer led to the label that points nowhere; each pass doubles how far pointers reach, so chains end soon."""
+    while True:
+        hop = step.select(F.col("label").alias("to"), F.col("to").alias("further"))
+        ahead = materialize(step.join(hop, "to", "left").select("label", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        release(step)
+        step = ahead
+        if step.where("moved").isEmpty():
+            return step
+
+
 def _unsettled(edges: DataFrame) -> DataFrame:
     """Edges whose abbreviation still has two labels."""
     open_ = edges.groupBy("abbr").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("abbr")
