@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import sys
+from types import SimpleNamespace
 
 import pytest
 
@@ -99,3 +101,32 @@ def test_stream(spark, project):
     go()
     second = {r["abbr_key"] for r in documents.current_decisions(spark, str(project / "table")).collect()}
     assert second == {"co$", "omnib;", "ideoq;"}
+
+
+def test_lemmas_for_single_letters(spark, project, monkeypatch):
+    (project / "in/a.xml").write_text(f"<TEI {NS}><p>x <abbr>M</abbr> y <abbr>co$</abbr> z <abbr>k</abbr></p></TEI>")
+    (project / "lemmas.txt").write_text("mulus\nmagister\n\nme\nmons\nmagister\nmanus\n")
+    on = TOML.replace("[data]", '[data]\nlemmas_path = "lemmas.txt"')
+    (project / "config.toml").write_text(on)
+    c = Config(project / "config.toml")
+    decided = {r["abbr_key"]: (r["expansion"], r["source"]) for r in pipelines.decide(spark, c, str(project / "in/a.xml")).collect()}
+    assert decided == {"M": ("magister", "wordnet"), "co$": ("con", "dictionary"), "k": ("k", "language_model")}
+    stats = {r["metric"]: r["value"] for r in pipelines.statistics(spark, c, str(project / "in/a.xml")).where("part = 'suggestions'").collect()}
+    assert stats["wordnet_suggestions"] == 1 and stats["lm_suggestions"] == 1
+    pipelines.expand_documents(spark, c, str(project / "in/a.xml"), str(project / "out")).collect()
+    assert ">magister</expan>" in (project / "out/a.xml").read_text()
+    assert cli.expand_word(spark, c, "m") == [("magister", 0.6, "wordnet"), ("manus", 0.6, "wordnet"), ("mons", 0.6, "wordnet")]
+    words = files.load_dictionaries(spark, str(project / "u.json"), str(project / "m.json"))
+    documents.run(spark, str(project / "in"), str(project / "table"), words, str(project / "check"), lemmas=pipelines.lemmas(spark, c)).awaitTermination()
+    assert {r["abbr_key"]: r["source"] for r in documents.current_decisions(spark, str(project / "table")).collect()}["M"] == "wordnet"
+    (project / "config.toml").write_text(on + "[settings]\nuse_wordnet = false\n")
+    assert pipelines.lemmas(spark, Config(project / "config.toml")) is None
+    # Without a file WordNet is read, as far as it is installed.
+    (project / "config.toml").write_text(TOML)
+    monkeypatch.setitem(sys.modules, "nltk.corpus", None)
+    assert pipelines.lemmas(spark, Config(project / "config.toml")) is None
+    synsets = [SimpleNamespace(lemma_names=lambda names=n: names) for n in (["entity", "Earth"], ["object"])]
+    nltk = SimpleNamespace(wordnet=SimpleNamespace(all_synsets=lambda kind: iter(synsets)))
+    monkeypatch.setitem(sys.modules, "nltk", SimpleNamespace(corpus=nltk))
+    monkeypatch.setitem(sys.modules, "nltk.corpus", nltk)
+    assert [r["lemma"] for r in pipelines.lemmas(spark, Config(project / "config.toml")).collect()] == ["entity", "object"]

@@ -31,7 +31,7 @@ def expand_word(spark, config: Config, word: str) -> list[tuple[str, float, str]
     from vellum.operators import suggest
 
     row = spark.createDataFrame([(word, word, "", "")], "normalized_form string, abbr_text string, context_before string, context_after string")
-    found = suggest.suggestions(row, pipelines.dictionary(spark, config), pipelines._language(config))
+    found = suggest.suggestions(row, pipelines.dictionary(spark, config), pipelines._language(config), lemmas=pipelines.lemmas(spark, config))
     best = suggest.ranked(suggest.without_single_letters(found, always=True), "abbr_text").orderBy("rank").collect()
     return [(r["expansion"], r["confidence"], r["source"]) for r in best]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import Config
 from vellum.operators import dataset, decisions, replace, suggest, tei, xmlpatch
-from vellum.operators.providers import ChatProvider, SuggestionProvider
+from vellum.operators.providers import ChatProvider, SuggestionProvider, lemma_table
 from vellum.operators.sizes import spread
 from vellum.sources import files, sinks
 from vellum.storage import materialize
@@ -21,6 +21,15 @@ def dictionary(spark: SparkSession, config: Config) -> DataFrame:
     return files.load_dictionaries(spark, str(config.resolve(config.get("data", "user_solution_path"))), str(config.resolve(config.get("data", "machine_solution_path"))))
 
 
+def lemmas(spark: SparkSession, config: Config) -> DataFrame | None:
+    """The lemmas for keys of one letter: those of the file ``data.lemmas_path``, without one WordNet's. None where ``settings.use_wordnet`` is off or there are no lemmas."""
+    if not config.get("settings", "use_wordnet", True):
+        return None
+    path = config.optional("data", "lemmas_path")
+    words = files.read_lemmas(config.resolve(path)) if path else files.wordnet_lemmas()
+    return lemma_table(spark, words) if words else None
+
+
 def provider(config: Config) -> SuggestionProvider | None:
     """The configured language model, where ``online`` is set in its section; else offline answers are used."""
     if not config.get("language_model_integration", "online", False):
@@ -39,7 +48,7 @@ def suggested(spark: SparkSession, config: Config, scanned: DataFrame, with_cont
     if not with_context:  # looked up by the normalized form alone
         found = found.withColumns({c: F.lit("") for c in ("context_before", "context_after")}).withColumn("abbr_text", F.lit(None).cast("string"))
     use_model = bool(config.get("language_model_integration", "enabled", True))
-    return suggest.suggestions(found, dictionary(spark, config), _language(config), provider=provider(config), use_model=use_model)
+    return suggest.suggestions(found, dictionary(spark, config), _language(config), lemmas=lemmas(spark, config), provider=provider(config), use_model=use_model)
 
 
 def expand_documents(spark: SparkSession, config: Config, path: str, output: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+from itertools import islice
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,29 @@ def dictionary_frame(spark: SparkSession, user: dict[str, list[str]], machine: d
     return spark.createDataFrame(rows, DICTIONARY)
 
 
+def read_lemmas(path: str | Path) -> list[str]:
+    """A lemma file: one lemma a line, blank lines passed over. A missing one is empty."""
+    file = Path(path)
+    if not file.exists():
+        _log.warning("no lemmas %s", file)
+        return []
+    if file.stat().st_size > _MOST_BYTES:
+        raise ValueError(f"{file} is too large to be a lemma file")
+    return [w for line in file.read_text(encoding="utf-8").splitlines() if (w := line.strip())]
+
+
+def wordnet_lemmas(synsets: int = 100) -> list[str]:
+    """Lemmas of WordNet's first noun ``synsets``, without those that begin with a capital, if NLTK and its corpus are installed; else none."""
+    try:
+        from nltk.corpus import wordnet
+
+        names = [name for s in islice(wordnet.all_synsets("n"), synsets) for name in s.lemma_names()]
+    except (ImportError, LookupError):
+        _log.warning("no WordNet; keys of one letter get no lemmas")
+        return []
+    return [name for name in names if name[:1] == name[:1].lower()]
+
+
 def load_dictionaries(spark: SparkSession, user_path: str, machine_path: str) -> DataFrame:
     """The two dictionary files as a frame."""
     return dictionary_frame(spark, read_solutions(user_path), read_solutions(machine_path))

@@ -22,9 +22,9 @@ def arriving(spark: SparkSession, folder: str, files_per_trigger: int = 1000) ->
     return read.load(folder).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("seen_at"), F.col("value").alias("xml"))
 
 
-def decided(batch: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Decisions of a batch of documents."""
-    found = suggest.suggestions(tei.abbreviations(tei.scan_documents(batch)), dictionary)
+def decided(batch: DataFrame, dictionary: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """Decisions of a batch of documents; keys of one letter take ``lemmas`` (``lemma``) where they are given."""
+    found = suggest.suggestions(tei.abbreviations(tei.scan_documents(batch)), dictionary, lemmas=lemmas)
     best = suggest.top(found, "file_path", "node_ord", "abbr_text", "normalized_form").join(batch.select("file_path", "seen_at"), "file_path")
     key = F.coalesce(F.nullif("abbr_text", F.lit("")), F.nullif("normalized_form", F.lit("")), F.lit("unknown"))
     return best.select(key.alias("abbr_key"), "expansion", "confidence", "source", "file_path", "seen_at", "node_ord")
@@ -46,8 +46,8 @@ def current_decisions(spark: SparkSession, table: str, before: int | None = None
     return spark.read.schema(DECISION).parquet(f"{table}/versions/{names[-1]}") if names else spark.createDataFrame([], DECISION)
 
 
-def run(spark: SparkSession, folder: str, table: str, dictionary: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep a table of decisions for the documents that arrive in a folder.
+def run(spark: SparkSession, folder: str, table: str, dictionary: DataFrame, checkpoint: str, once: bool = True, lemmas: DataFrame | None = None) -> StreamingQuery:
+    """Keep a table of decisions for the documents that arrive in a folder, with ``lemmas`` (``pipelines.lemmas``) for keys of one letter.
 
     Each batch writes a new version of the table, named by the batch's number, so a batch that is run again after a failure
     gives the same version and a reader never sees half of one.
@@ -55,7 +55,7 @@ def run(spark: SparkSession, folder: str, table: str, dictionary: DataFrame, che
 
     def batch(df: DataFrame, number: int) -> None:
         earlier = current_decisions(dictionary.sparkSession, table, number)
-        upsert(earlier, decided(df, dictionary)).write.mode("overwrite").parquet(f"{table}/versions/{number:012d}")
+        upsert(earlier, decided(df, dictionary, lemmas)).write.mode("overwrite").parquet(f"{table}/versions/{number:012d}")
 
     writer = arriving(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).queryName(f"documents-{uuid.uuid4().hex[:8]}")
     return (writer.trigger(availableNow=True) if once else writer).start()
