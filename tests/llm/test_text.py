@@ -47,6 +47,16 @@ def test_find(spark):
     assert [tuple(r) for r in k.find_lookalikes(texts, wide, ["no"], ["b"]).where("no = 1").collect()] == [(1, "b", 9)]
 
 
+def test_find_before_line_ends(spark):
+    forms = spark.createDataFrame([(1, "co$t"), (2, "sir\n")], "form_id long, form string")
+    ends = ["\n", "\r\n", "\r", "\x85", "\u2028", "\u2029", "\n\n", " ", "\t"]
+    texts = spark.createDataFrame([(0, "co$t"), *((i, "co$t" + e) for i, e in enumerate(ends, 1)), (20, "sir"), (21, "sir\n")], "no long, a string")
+    got = sorted(tuple(r) for r in k.find_lookalikes(texts, forms.where("form_id = 1"), ["no"], ["a"]).collect())
+    assert got == [(i, "a", 1) for i in range(1, len(ends) + 1)]
+    # A form with a line end isn't plain, so plain values may look like it.
+    assert [tuple(r) for r in k.find_lookalikes(texts, forms.where("form_id = 2"), ["no"], ["a"]).collect()] == [(20, "a", 2)]
+
+
 def test_groups(spark):
     df = spark.createDataFrame([(1, "a"), (2, "ａ"), (3, "a"), (4, "b"), (5, None)], "no long, x string")
     assert sorted(tuple(r) for r in k.groups_by_look(df, "x", "no").collect()) == [("a", 2, 1, 2), ("ａ", 1, 2, 2)]

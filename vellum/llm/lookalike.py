@@ -144,8 +144,8 @@ def find_lookalikes(texts: DataFrame, forms: DataFrame, key: list[str], fields:
     exact = accepted.select(F.col("__form").alias("__value")).distinct()
     long = texts.select(*key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("__value")) for f in fields))).alias("__x"))
     long = long.select(*key, "__x.field", "__x.__value").where(F.col("__value").isNotNull())
-    plain = F.col("__value").rlike(r"^[\x21-\x7e]([\x20-\x7e]*[\x21-\x7e])?$") & ~F.col("__value").contains("  ")
-    ascii_forms = accepted.where(~F.col("__form").rlike(r"^[\x21-\x7e]([\x20-\x7e]*[\x21-\x7e])?$") | F.col("__form").contains("  "))
+    plain = F.col("__value").rlike(r"^[\x21-\x7e]([\x20-\x7e]*[\x21-\x7e])?\z") & ~F.col("__value").contains("  ")
+    ascii_forms = accepted.where(~F.col("__form").rlike(r"^[\x21-\x7e]([\x20-\x7e]*[\x21-\x7e])?\z") | F.col("__form").contains("  "))
     odd = long if _any_plain_alike(ascii_forms) else long.where(~plain)
     found = odd.join(F.broadcast(exact) if small else exact, "__value", "left_anti").withColumn("__skel", skeleton_of("__value"))
     return found.join(F.broadcast(keyed) if small else keyed, "__skel").where(F.col("__skel") != "").select(*key, "field", "form_id")
