@@ -9,7 +9,7 @@ import pytest
 from vellum import cli
 from vellum.config import Config, ConfigError, missing_keys, setup_logging
 from vellum.plans import pipelines
-from vellum.sources import files
+from vellum.sources import files, sinks
 from vellum.streaming import documents
 
 NS = 'xmlns="http://www.tei-c.org/ns/1.0"'
@@ -130,3 +130,30 @@ def test_lemmas_for_single_letters(spark, project, monkeypatch):
     monkeypatch.setitem(sys.modules, "nltk", SimpleNamespace(corpus=nltk))
     monkeypatch.setitem(sys.modules, "nltk.corpus", nltk)
     assert [r["lemma"] for r in pipelines.lemmas(spark, Config(project / "config.toml")).collect()] == ["entity", "object"]
+
+
+def test_files_of_one_name(spark, project):
+    c = Config(project / "config.toml")
+    given = {"a/tei.txt": "ſa\n❧a\n", "b c/tei.txt": "ſb\n❧b\n", "tei.txt": "ſ\n"}
+    for name, text in given.items():
+        (project / "texts" / name).parent.mkdir(parents=True, exist_ok=True)
+        (project / "texts" / name).write_text(text)
+    assert pipelines.replace_characters(spark, c, str(project / "texts"), str(project / "rep")).first().asDict() == {"deleted": 2, "replaced": 3, "files": 3}
+    saved = {str(p.relative_to(project / "rep/texts")): p.read_text() for p in (project / "rep/texts").rglob("*.txt")}
+    assert saved == {"a/tei.txt": "sa\na\n", "b c/tei.txt": "sb\nb\n", "tei.txt": "s\n"}
+    log = spark.read.json(str(project / "rep/log"))
+    assert log.count() == 5 and log.select("file_path").distinct().count() == 3 and {r["file_name"] for r in log.collect()} == {"tei.txt"}
+    for name in ("x", "y"):
+        (project / "docs" / name).mkdir(parents=True)
+        (project / "docs" / name / "d.xml").write_text(f"<TEI {NS}>\n<p>{name}\n<abbr>co$</abbr></p>\n</TEI>\n")
+    assert files.xml_files(spark, str(project / "docs")).count() == 2
+    pipelines.expand_documents(spark, c, str(project / "docs"), str(project / "out")).collect()
+    assert all(f"<p>{name}\n<abbr" in (project / "out" / name / "d.xml").read_text() for name in ("x", "y"))
+
+
+@pytest.mark.parametrize(
+    "path, root, expected",
+    [("file:/in/a/b%20c.xml", "/in", "a/b c.xml"), ("file:///in/a.xml", "/in/", "a.xml"), ("file:/in/a.xml", "/in/a.xml", "a.xml"), ("hdfs://n:1/in/a/b.xml", "hdfs://n:1/in", "a/b.xml"), ("file:/inner/a.xml", "/in", "inner/a.xml"), ("file:/x/in/a.xml", "/y/../x/in", "a.xml")],
+)
+def test_paths_below(path, root, expected):
+    assert sinks.below(path, root) == expected

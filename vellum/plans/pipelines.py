@@ -52,10 +52,10 @@ def suggested(spark: SparkSession, config: Config, scanned: DataFrame, with_cont
 
 
 def expand_documents(spark: SparkSession, config: Config, path: str, output: str) -> DataFrame:
-    """Put the best suggestion into every document and save them; ``file_path``, ``expanded``, ``error``, ``saved``."""
+    """Put the best suggestion into every document and save them by their paths below ``path``; ``file_path``, ``expanded``, ``error``, ``saved``."""
     best = suggest.top(suggested(spark, config, scan(spark, config, path), with_context=False), "file_path", "kind_ord", "node_ord")
     patched = materialize(xmlpatch.patch_documents(files.xml_files(spark, path), best, use_choice=bool(config.get("xml_processing", "use_choice_tags", False)), add_ids=bool(config.get("xml_processing", "add_xml_ids", True)), pretty=True))
-    return patched.select("file_path", "expanded", "error").join(sinks.save_documents(patched, output), "file_path")
+    return patched.select("file_path", "expanded", "error").join(sinks.save_documents(patched, output, path), "file_path")
 
 
 def decide(spark: SparkSession, config: Config, path: str, choices: DataFrame | None = None) -> DataFrame:
@@ -93,16 +93,15 @@ def build_dataset(spark: SparkSession, config: Config, path: str, output: str, d
 
 
 def replace_characters(spark: SparkSession, config: Config, path: str, output: str) -> DataFrame:
-    """Replace characters in all files of a folder, save texts and log, and return the summary. A missing section means no replacement."""
+    """Replace characters in all files of a folder and below, save texts by their paths below it, and a log by file, and return the summary. A missing section means no replacement."""
     section = "unicode_replacements"
     todo = replace.steps(config.optional(section, "characters_to_delete") or [], config.optional(section, "characters_to_replace") or {}, more_markers=config.optional(section, "additional_abbr_markers") or {})
-    texts = files.text_files(spark, path).withColumn("file_name", replace.basename(F.col("file_path")))
-    done = materialize(replace.run(texts, todo, on=bool(config.optional(section, "replacements_on"))))
-    saved = replace.whole_texts(done).select(F.col("file_name").alias("file_path"), F.col("text").alias("xml"))
-    sinks.save_documents(saved, f"{output}/texts").write.mode("overwrite").format("noop").save()
-    log = replace.change_log(done)
-    sinks.save_log(log, f"{output}/log")
-    return replace.summary(log)
+    done = materialize(replace.run(files.text_files(spark, path), todo, "file_path", bool(config.optional(section, "replacements_on"))))
+    saved = replace.whole_texts(done, "file_path").select("file_path", F.col("text").alias("xml"))
+    sinks.save_documents(saved, f"{output}/texts", path).write.mode("overwrite").format("noop").save()
+    log = replace.change_log(done, "file_path")
+    sinks.save_log(log.withColumn("file_name", replace.basename(F.col("file_path"))), f"{output}/log")
+    return replace.summary(log, "file_path")
 
 
 def statistics(spark: SparkSession, config: Config, path: str) -> DataFrame:

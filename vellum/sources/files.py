@@ -17,14 +17,14 @@ _log = logging.getLogger("vellum.sources")
 
 def xml_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``file_path``, ``xml`` of files ending in ``.xml``, in these folders and all below. One row for each file."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml")
-    return read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("xml"))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml")
+    return read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("xml"))
 
 
 def text_files(spark: SparkSession, paths: str | list[str], pattern: str = "*") -> DataFrame:
     """``file_path``, ``text`` of files, whole, in these folders and all below."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
 
 
 def list_xml(folder: str) -> list[str]:

@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 import logging
 import os
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _log = logging.getLogger("vellum.sinks")
+_SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)")
 
 
 def write_atomic(path: str | Path, pieces: Iterable[str]) -> bool:
@@ -89,15 +92,28 @@ def save_decisions(decided: DataFrame, entries: DataFrame, folder: str, stamp: s
     entries.write.mode("overwrite").json(f"{folder}/datasets/expansion_dataset_{stamp}")
 
 
-def save_documents(patched: DataFrame, folder: str) -> DataFrame:
-    """Write each document (``file_path``, ``xml``) into a shared folder under its own name; ``file_path``, ``saved`` of each.
+def below(path: str, root: str) -> str:
+    """A file's path, as Spark gives it, relative to the folder ``root`` it was read from; where ``root`` is the file itself, its name. A file elsewhere keeps its whole path."""
+    whole = unquote(_SCHEME.sub("", path))
+    start = os.path.normpath(_SCHEME.sub("", root)) if _SCHEME.match(root) else os.path.abspath(root)
+    if whole == start:
+        return os.path.basename(whole)
+    start = start.rstrip("/") + "/"
+    return whole[len(start) :] if whole.startswith(start) else whole.lstrip("/")
+
+
+def save_documents(patched: DataFrame, folder: str, root: str | None = None) -> DataFrame:
+    """Write each document (``file_path``, ``xml``) into a shared folder; ``file_path``, ``saved`` of each.
+
+    Named by its path below ``root``, the folder that was read, so that files of one name in several folders stay apart;
+    without ``root`` by its name alone.
 
     Written where the rows are, each file whole at once, so a task that runs again leaves the same files.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = [x is not None and write_atomic(Path(folder) / os.path.basename(p), [x]) for p, x in zip(pdf["file_path"], pdf["xml"], strict=True)]
+            done = [x is not None and write_atomic(Path(folder) / (os.path.basename(p) if root is None else below(p, root)), [x]) for p, x in zip(pdf["file_path"], pdf["xml"], strict=True)]
             yield pd.DataFrame({"file_path": pdf["file_path"], "saved": done})
 
     return patched.select("file_path", "xml").mapInPandas(run, "file_path string, saved boolean")
