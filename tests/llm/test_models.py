@@ -53,6 +53,19 @@ def test_held_out_accuracy(model):
     assert long["words"].tolist() == [30_000] and model.languages[long["lang"][0]] == "eng"
 
 
+def test_neighbours_in_one_language_are_joined(model, monkeypatch):
+    rng = random.Random(7)
+    lat, eng, fra = (text(rng, lang, 7).split() for lang in ("lat", "eng", "fra"))
+    rows = pa.array([lat, eng + fra, [], lat[:3], lat[3:]])
+    cuts = [3, 4, 3, 4, 2, 5, 3, 4]
+    monkeypatch.setattr(n, "_course", lambda *_: np.repeat(np.arange(len(cuts)) % 2, cuts))
+    found = n.detect(model, rows)
+    assert [(r, f, w, model.languages[k]) for r, f, w, k in zip(found["row"], found["first"], found["words"], found["lang"], strict=True)] == [(0, 0, 7, "lat"), (1, 0, 7, "eng"), (1, 7, 7, "fra"), (3, 0, 3, "lat"), (4, 0, 4, "lat")]
+    # A joined part has the confidence of the whole.
+    monkeypatch.setattr(n, "_course", lambda *_: np.zeros(7, int))
+    assert found["confidence"][0] == pytest.approx(n.detect(model, pa.array([lat]))["confidence"][0])
+
+
 def test_unnamed_runs(spark, model):
     rng = random.Random(4)
     kind = "abbr_no long, context_before string, context_after string, metadata struct<language:string>"

@@ -238,8 +238,19 @@ def detect(model: Model, words: pa.Array, change: float = 5.5, at_mark: float =
     first = np.flatnonzero(new)
     part = np.cumsum(new) - 1
     near = model.cosines(part, len(first), codes, table)
-    best = near.argmax(1) if len(first) else np.zeros(0, np.int64)
-    top = near[np.arange(len(first)), best]
+    while True:
+        best = near.argmax(1) if len(first) else np.zeros(0, np.int64)
+        top = near[np.arange(len(first)), best]
+        # Neighbours in one language are one part, classified again as a whole, until none are left.
+        same = (row_of[first][1:] == row_of[first][:-1]) & (best[1:] == best[:-1]) & (np.minimum(top[1:], top[:-1]) >= model.least)
+        if not same.any():
+            break
+        into, joined = np.r_[False, same], np.r_[same, False]
+        new[first[into]] = False
+        first, near, joined = first[~into], near[~into], joined[~into]
+        part = np.cumsum(new) - 1
+        inside = joined[part]
+        near[joined] = model.cosines((np.cumsum(joined) - 1)[part[inside]], int(joined.sum()), codes[inside], table)
     return {
         "row": row_of[first],
         "first": first - starts[row_of[first]],
@@ -252,7 +263,7 @@ def detect(model: Model, words: pa.Array, change: float = 5.5, at_mark: float =
 def language_parts(texts: DataFrame, key: str, fields: list[str], model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``field``, ``first_word``, ``n_words``, ``lang``, ``confidence``: one row for each part of each field of each row.
 
-    A text in one language has one part. ``first_word`` counts from 0. ``lang`` is ``und`` where the part is like
+    A text in one language has one part, and no two neighbours of one row are in the same language, ``und`` aside. ``first_word`` counts from 0. ``lang`` is ``und`` where the part is like
     no language of the model. Null, empty and blank texts, and those without a letter, have no part. Whole texts
     are read, whatever their length; repeated rows repeat. The columns ``carry`` go along. No shuffle; the model is broadcast, and its size
     depends on the numbers of languages, centroids and n-gram dimensions alone.
