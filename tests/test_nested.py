@@ -70,3 +70,16 @@ def test_against_recursion():
     for _ in range(20):
         t = tree(5)
         assert elements(json.dumps({"xpath": "/r", "parent_element": t})) == walk(t, "/r", "")
+
+
+def test_found_reads_the_table_written_with_all_others(spark, tmp_path, monkeypatch):
+    from vellum.plans.nested import p5_found
+
+    made = []
+    write = nested.materialize
+    monkeypatch.setattr(nested, "materialize", lambda df, partition_by=None: made.append((partition_by, write(df, partition_by))) or made[-1][1])
+    payload = json.dumps({"xpath": "/T[1]", "parent_element": {"tag": "T", "attrs": {"x": "y"}, "text": "t", "children": [{"tag": "p"}]}})
+    frame(spark, [(1, payload), (2, None)]).write.parquet(str(tmp_path / "element_records.parquet"))
+    assert sorted(tuple(r) for r in p5_found(spark, str(tmp_path)).collect()) == [(1, "/T[1]", ""), (1, "/T[1]/p[1]", "/T[1]")]
+    assert [by for by, _ in made] == ["table"]
+    assert {r["table"]: r["count"] for r in made[0][1].groupBy("table").count().collect()} == {"element": 2, "attribute": 1, "text": 1}

@@ -12,8 +12,8 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Xpath and parent's xpath of every element."""
-    return nested.flat_table(_records(spark, folder), "element").select("tree_no", "xpath", "parent_xpath")
+    """Xpath and parent's xpath of every element, read from the tables written in one pass."""
+    return nested.flatten(_records(spark, folder))["element"].select("tree_no", "xpath", "parent_xpath")
 
 
 def p5_attributes(spark: SparkSession, folder: str) -> DataFrame:
