@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -22,7 +25,11 @@ def let_workers_import(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int | str = 8, app: str = "vellum") -> SparkSession:
-    """A local session with the settings tests and the bench use."""
+    """A local session with the settings the command line and the bench use. Intermediate tables go to ``VELLUM_SHARED_DIR``, else to a folder that lasts as long as Python."""
+    shared = os.environ.get("VELLUM_SHARED_DIR")
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="vellum-")
+        atexit.register(shutil.rmtree, shared, True)
     session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -31,6 +38,7 @@ def local_session(cores: int | str = 8, app: str = "vellum") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", Path(shared).resolve().as_uri())
         .config("spark.driver.memory", os.environ.get("VELLUM_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
