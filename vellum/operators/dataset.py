@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import combined_context, entry_id, instruction, not_empty, placeholder
+from vellum.operators import pick
 from vellum.operators.sizes import broadcast_if_small
 
+# Fixed value: the instruction that training records give.
 TEMPLATE = "Expand the abbreviation: {abbr} in context: {context}"
 #: Digits of the hash that a rank is first counted by: 4,096 classes.
 _RANK_DIGITS = 3
@@ -41,13 +43,8 @@ def with_required(given: DataFrame) -> DataFrame:
 
 
 def first_by_id(given: DataFrame, position: str) -> DataFrame:
-    """The first entry, by ``position``, of each id; entries without id count as one with an empty id.
-
-    An aggregate, combined before the shuffle: a frequent id, or many entries without, make no large group.
-    """
-    others = F.struct(*given.columns)
-    kept = given.groupBy(F.coalesce("id", F.lit("")).alias("__id")).agg(F.min_by(others, F.struct(position, F.to_json(others))).alias("__first"))
-    return kept.select("__first.*")
+    """The first entry, by ``position``, of each id; entries without id count as one with an empty id. A repeated row counts once."""
+    return pick.by_key(given.withColumn("__id", F.coalesce("id", F.lit(""))), "__id", [position]).drop("__id")
 
 
 def validate(given: DataFrame, position: str, check_duplicates: bool = True) -> DataFrame:
@@ -99,8 +96,8 @@ def _cut(placed: DataFrame, train: float, validation: float) -> DataFrame:
 def split_shuffled(rows: DataFrame, position: str, train: float = 0.8, validation: float = 0.1, seed: int = 42, most: int = 1_000_000) -> DataFrame:
     """As ``split``, in the order that Python's generator with ``seed`` shuffles rows into that stand in the order of ``position``.
 
-    ``position`` must run from 0 without gaps. The permutation depends on the number of rows alone and is made on the
-    driver, so more than ``most`` rows raise ValueError; ``split`` has no such limit.
+    Gaps in ``position`` count for nothing; rows alike in it, or without it (which come first), stand in the order of their content's hash. The permutation depends
+    on the number of rows alone and is made on the driver, so more than ``most`` rows raise ValueError; ``split`` has no such limit.
     """
     n = rows.count()
     if n > most:
@@ -108,7 +105,8 @@ def split_shuffled(rows: DataFrame, position: str, train: float = 0.8, validatio
     order = list(range(n))
     random.Random(seed).shuffle(order)
     places = rows.sparkSession.createDataFrame([(p, i + 1) for i, p in enumerate(order)], "__p long, __rn long")
-    placed = rows.withColumn("__p", F.col(position).cast("long")).join(F.broadcast(places), "__p").withColumn("__n", F.lit(n).cast("long")).drop("__p")
+    numbered = rows.withColumn("__p", F.row_number().over(Window.orderBy(position, F.xxhash64(*rows.columns))) - F.lit(1).cast("long"))
+    placed = numbered.join(F.broadcast(places), "__p").withColumn("__n", F.lit(n).cast("long")).drop("__p")
     return _cut(placed, train, validation)
 
 

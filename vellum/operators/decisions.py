@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import not_empty
+from vellum.operators import pick
 
 
 def last_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row for each ``key``, the last in ``order``, with ``first_order``: the order of the first.
 
-    So a decision made again takes the place of the earlier one, at its position. Combined before the shuffle, so a
-    frequent key is no large group. A null key is a key; rows alike in ``order`` are told apart by their content.
+    So a decision made again takes the place of the earlier one, at its position. A null key is a key; rows alike in ``order`` are
+    told apart by a hash of their content.
     """
-    others = [c for c in rows.columns if c != key]
-    place = F.struct(*order)
-    kept = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order, F.to_json(F.struct(*others)))).alias("__last"), F.min(place).alias("first_order"))
-    return kept.select(key, "__last.*", "first_order")
+    return pick.by_key(rows, key, order, last=True, first_order="first_order")
 
 
 def best_decisions(suggested: DataFrame, order: str) -> DataFrame:
