@@ -31,23 +31,32 @@ def replaced(line: Column, todo: list[tuple[str, str, str]]) -> Column:
     return line
 
 
+def _any_of(line: Column, todo: list[tuple[str, str, str]]) -> Column:
+    """Whether the line holds anything the steps look for, or could come to hold after one of them: characters that a step puts in count too."""
+    single = {c for old, new, _ in todo for c in (old if len(old) == 1 else "") + (new if old != new else "")}
+    longer = [old for old, _, _ in todo if len(old) > 1]
+    quoted = ["\\x{%x}" % ord(c) for c in sorted(single)]
+    parts = ([f"[{''.join(quoted)}]"] if quoted else []) + ["".join("\\x{%x}" % ord(c) for c in old) for old in longer]
+    return line.rlike("|".join(parts))
+
+
 def replaced_and_logged(line: Column, todo: list[tuple[str, str, str]]) -> Column:
     """Struct of ``line`` after all steps and ``log``, an entry for each step that found something.
 
-    One fold over the steps, so that the expression doesn't grow with their square. A line in which nothing the steps
-    look for can occur skips it.
+    One fold over the steps, so that the expression doesn't grow with their square. A line that holds nothing the steps
+    look for skips it.
     """
+    none = F.struct(line.alias("line"), F.array().cast(_LOG).alias("log"))
     if not todo:
-        return F.struct(line.alias("line"), F.array().cast(_LOG).alias("log"))
+        return none
     given = F.array(*(F.struct(F.lit(a).alias("old"), F.lit(b).alias("new"), F.lit(c).alias("said")) for a, b, c in todo))
-    start = F.struct(line.alias("line"), F.array().cast(_LOG).alias("log"))
 
     def step(so_far: Column, s: Column) -> Column:
         entry = F.array(F.struct(s["old"].alias("original"), s["said"].alias("replacement")))
         hit = F.contains(so_far["line"], s["old"])
         return F.struct(F.replace(so_far["line"], s["old"], s["new"]).alias("line"), F.when(hit, F.concat(so_far["log"], entry)).otherwise(so_far["log"]).alias("log"))
 
-    return F.aggregate(given, start, step)
+    return F.when(_any_of(line, todo), F.aggregate(given, none, step)).otherwise(none)
 
 
 def run(files: DataFrame, todo: list[tuple[str, str, str]], file: str = "file_name", on: bool = True) -> DataFrame:
@@ -55,6 +64,23 @@ def run(files: DataFrame, todo: list[tuple[str, str, str]], file: str = "file_na
     return lines(files, [file]).withColumn("x", replaced_and_logged(F.col("line"), todo if on else [])).select(file, "line_number", "x.line", "x.log")
 
 
+def replaced_lines(files: DataFrame, todo: list[tuple[str, str, str]], file: str = "file_name") -> DataFrame:
+    """``file``, ``line_number``, ``line`` of every line after all steps, without a log."""
+    return lines(files, [file]).select(file, "line_number", replaced(F.col("line"), todo).alias("line"))
+
+
+def replaced_texts(files: DataFrame, todo: list[tuple[str, str, str]], file: str = "file_name") -> DataFrame:
+    """``file``, ``text``: each text with its lines replaced, each ended by a line feed; null and empty texts give none.
+
+    Same as ``whole_texts`` of ``run``. Steps without a line end can't reach over one, so texts are worked whole, without a shuffle; with
+    such steps lines are worked apart and put together again.
+    """
+    if any("\n" in x or "\r" in x for old, new, _ in todo for x in (old, new)):
+        return whole_texts(replaced_lines(files, todo, file), file)
+    text = replaced(F.regexp_replace("text", r"\r\n?", "\n"), todo)
+    return files.where("text <> ''").select(file, text.alias("text")).select(file, F.when(F.col("text").endswith("\n"), F.col("text")).otherwise(F.concat("text", F.lit("\n"))).alias("text"))
+
+
 def basename(path: Column) -> Column:
     """The last part of a path."""
     return F.regexp_extract(path, r"[^/]*$", 0)
