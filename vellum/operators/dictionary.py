@@ -5,11 +5,13 @@ A dictionary is a frame of ``dict`` (``user`` or ``machine``), ``key_ord``, ``ab
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import strip
-from vellum.operators.sizes import broadcast_if_small
+from vellum.operators.sizes import is_small
 
 
 def valid_expansions(expansions: Column) -> Column:
@@ -17,14 +19,10 @@ def valid_expansions(expansions: Column) -> Column:
     return F.filter(F.coalesce(expansions, F.array().cast("array<string>")), lambda x: F.length(x) > 1)
 
 
-def _exact(dictionary: DataFrame, name: str) -> DataFrame:
-    # A key given twice has its last value.
-    return dictionary.where(F.col("dict") == name).groupBy(F.col("abbr").alias("__key")).agg(valid_expansions(F.max_by("expansions", "key_ord")).alias(f"__{name}"))
-
-
-def _folded(dictionary: DataFrame, name: str) -> DataFrame:
-    # Of keys equal but for case the first counts.
-    return dictionary.where(F.col("dict") == name).groupBy(F.lower("abbr").alias("__low")).agg(valid_expansions(F.min_by("expansions", "key_ord")).alias(f"__{name}_low"))
+def _by(dictionary: DataFrame, key: Column, pick: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """A row for each key with the user's and the machine's values side by side."""
+    of = lambda d: valid_expansions(pick(F.when(F.col("dict") == d, F.col("expansions")), F.when(F.col("dict") == d, F.col("key_ord"))))
+    return dictionary.where("abbr IS NOT NULL").groupBy(key.alias(f"__{name}")).agg(of("user").alias(f"__user_{name}"), of("machine").alias(f"__machine_{name}"))
 
 
 def lookup(frame: DataFrame, key: str, dictionary: DataFrame, into: str = "expansions") -> DataFrame:
@@ -32,18 +30,17 @@ def lookup(frame: DataFrame, key: str, dictionary: DataFrame, into: str = "expan
 
     The user's values come first, then those of the machine that aren't among them. Only where neither has the key
     with a valid value, keys equal but for case count: the user's first such key, or if that has no valid value,
-    the machine's. A null key has none. Four equi-joins; small dictionaries are broadcast.
+    the machine's. A null key has none. Two equi-joins, with dictionaries by key and by key in lower case; small ones are broadcast, after one look at their size.
     """
+    send = F.broadcast if is_small(dictionary) else lambda df: df
+    # A key given twice has its last value; of keys equal but for case the first counts.
+    exact, folded = _by(dictionary, F.col("abbr"), F.max_by, "key"), _by(dictionary, F.lower("abbr"), F.min_by, "low")
+    frame = frame.join(send(exact), F.col(key) == F.col("__key"), "left").join(send(folded), F.lower(F.col(key)) == F.col("__low"), "left")
     none = F.array().cast("array<string>")
-    join = lambda df, other, name, on: df.join(broadcast_if_small(other.withColumnRenamed(name, f"{name}_")), on == F.col(f"{name}_"), "left").drop(f"{name}_")
-    for name in ("user", "machine"):
-        frame = join(frame, _exact(dictionary, name), "__key", F.col(key))
-        frame = join(frame, _folded(dictionary, name), "__low", F.lower(F.col(key)))
-    user, machine = F.coalesce("__user", none), F.coalesce("__machine", none)
-    exact = F.concat(user, F.array_distinct(F.filter(machine, lambda x: ~F.array_contains(user, x))))
-    user_low, machine_low = F.coalesce("__user_low", none), F.coalesce("__machine_low", none)
-    folded = F.when(F.size(user_low) > 0, user_low).otherwise(machine_low)
-    return frame.withColumn(into, F.when(F.size(exact) > 0, exact).otherwise(folded)).drop("__user", "__machine", "__user_low", "__machine_low")
+    user, machine, user_low, machine_low = (F.coalesce(f"__{d}_{n}", none) for n in ("key", "low") for d in ("user", "machine"))
+    both = F.concat(user, F.array_distinct(F.filter(machine, lambda x: ~F.array_contains(user, x))))
+    alike = F.when(F.size(user_low) > 0, user_low).otherwise(machine_low)
+    return frame.withColumn(into, F.when(F.size(both) > 0, both).otherwise(alike)).drop(*(f"__{x}" for x in ("key", "low", "user_key", "machine_key", "user_low", "machine_low")))
 
 
 def single_values(dictionary: DataFrame, name: str) -> DataFrame:
