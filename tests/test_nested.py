@@ -46,7 +46,7 @@ def test_frames(spark):
     one = json.dumps({"parent_element": {"tag": "p", "children": [{"tag": "g", "attrs": {"a": None}}, "t"]}, "xpath": "/p"})
     two = json.dumps({"parent_element": {"tag": "q"}, "xpath": "/q"})
     df = frame(spark, [(1, one), (1, one), (2, "{"), (3, None), (None, two), (None, two), (4, one), (4, two)])
-    found = nested.flat_table(df, "element")
+    found = nested.flatten(df)["element"]
     assert sorted((r["tree_no"] or 0, r["xpath"]) for r in found.collect()) == [(0, "/q"), (0, "/q"), (1, "/p"), (1, "/p/g[1]"), (4, "/q")]
     tables = nested.flatten(df)
     assert {k: v.count() for k, v in tables.items()} == {"element": 5, "attribute": 1, "text": 1}

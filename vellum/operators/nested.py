@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import pick
 from vellum.storage import materialize
 
 #: Schema of each table's payload.
@@ -108,13 +109,12 @@ def visit(tree_no: int | None, payload: str | None) -> Iterator[tuple[str, int |
         todo.extend(reversed(below))
 
 
-def _emit(batches: Iterator[pd.DataFrame], tables: frozenset[str]) -> Iterator[pd.DataFrame]:
+def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows: list[tuple] = []
         for tree_no, payload in zip(pdf["tree_no"], pdf["payload"], strict=True):
             for table, tree, node, parent, body in visit(None if pd.isna(tree_no) else int(tree_no), payload):
-                if table in tables:
-                    rows.append((table, tree, node, parent, json.dumps(body, ensure_ascii=False)))
+                rows.append((table, tree, node, parent, json.dumps(body, ensure_ascii=False)))
             if len(rows) > 50_000:
                 yield _frame(rows)
                 rows = []
@@ -129,18 +129,17 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def latest_trees(records: DataFrame) -> DataFrame:
     """``tree_no``, ``payload``: a repeated ``tree_no`` once, as loaded last. Rows without ``tree_no`` stay apart."""
     given = records.select("tree_no", "payload", "loaded_at")
-    once = given.where("tree_no IS NOT NULL").groupBy("tree_no").agg(F.max_by("payload", F.struct("loaded_at", "payload")).alias("payload"))
-    return once.unionByName(given.where("tree_no IS NULL").select("tree_no", "payload"))
+    once = pick.by_key(given.where("tree_no IS NOT NULL"), "tree_no", ["loaded_at"], last=True)
+    return once.unionByName(given.where("tree_no IS NULL")).drop("loaded_at")
 
 
-def emit(records: DataFrame, tables: tuple[str, ...] = tuple(TABLES)) -> DataFrame:
+def emit(records: DataFrame) -> DataFrame:
     """Tagged rows of all records: ``table``, ``tree_no``, ``node``, ``parent`` and ``payload`` as JSON.
 
     (``tree_no``, ``node``) is the key of an element and of what belongs to it, ``parent`` the ``node`` of the
     element above, null at the top. Unreadable payloads give no rows.
     """
-    wanted = frozenset(tables)
-    return latest_trees(records).mapInPandas(lambda it: _emit(it, wanted), _ROW)
+    return latest_trees(records).mapInPandas(_emit, _ROW)
 
 
 def _typed(rows: DataFrame, table: str) -> DataFrame:
@@ -151,8 +150,3 @@ def flatten(records: DataFrame) -> dict[str, DataFrame]:
     """All tables by name, from one pass over ``records``, written partitioned by tag in the shared folder."""
     rows = materialize(emit(records), partition_by="table")
     return {table: _typed(rows, table) for table in TABLES}
-
-
-def flat_table(records: DataFrame, table: str) -> DataFrame:
-    """One of the tables alone, nothing written."""
-    return _typed(emit(records, (table,)), table)
