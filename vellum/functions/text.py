@@ -154,6 +154,7 @@ def prompt(abbreviation: Column, before: Column, after: Column, metadata: Column
     if metadata is not None:
         lines = [x for f in fields for x in (F.lit(f"{f.capitalize()}: "), text(metadata.getField(f)), F.lit("\n"))]
         about = F.when(metadata.isNull(), "").otherwise(F.concat(*lines))
+    # The wording of the request.
     head = f"Expand the following abbreviation into exactly {count} distinct single-word expansions. Separate each expansion by a comma only, with no extra text.\n\nAbbreviation: "
     return F.concat(F.lit(head), text(abbreviation), F.lit("\nContext before: "), text(before), F.lit("\nContext after: "), text(after), F.lit("\nAdditional information:\n"), about)
 

@@ -40,7 +40,7 @@ def validate_required(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dedup_first_wins(spark: SparkSession, folder: str) -> DataFrame:
-    return d.validate(_stored(spark, folder), "entry_no").select("entry_no", "id", "abbreviation")
+    return d.validate(_stored(spark, folder).select("entry_no", "id", "abbreviation"), "entry_no")
 
 
 def validation_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,11 +67,11 @@ def split_by_language(spark: SparkSession, folder: str) -> DataFrame:
 
 def split_shuffled(spark: SparkSession, folder: str) -> DataFrame:
     """Split in the order of the seeded shuffle."""
-    return d.split_shuffled(_stored(spark, folder).withColumn("at", F.col("entry_no") - 1), "at").select("entry_no", "split")
+    return d.split_shuffled(_stored(spark, folder).select("entry_no"), "entry_no")
 
 
 def split_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return d.split_counts(d.split(d.validate(_stored(spark, folder), "entry_no"), _key()))
+    return d.split_counts(d.split(d.validate(_stored(spark, folder).select("entry_no", "id", "abbreviation"), "entry_no"), _key()))
 
 
 def chatml_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,8 +81,8 @@ def chatml_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decisions_latest(spark: SparkSession, folder: str) -> DataFrame:
-    kept = decisions.latest_decisions(table(spark, folder, "user_decisions").drop("metadata"))
-    return kept.select("abbr_key", "decision_no", "expansion", "confidence", "file_path", "first_no")
+    wanted = table(spark, folder, "user_decisions").select("abbr_key", "decision_no", "expansion", "confidence", "file_path", "decided_at", "loaded_at")
+    return decisions.latest_decisions(wanted).drop("decided_at", "loaded_at")
 
 
 def decision_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,7 +116,7 @@ def unicode_replace(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unicode_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    return _done(spark, folder).select("file_name", F.col("line_number").cast("long").alias("line_number"), "line")
+    return replace.replaced_lines(_files(spark, folder), replace.steps(DELETE, REPLACE)).withColumn("line_number", F.col("line_number").cast("long"))
 
 
 def replacement_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +128,7 @@ def replacement_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def replaced_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return replace.whole_texts(_done(spark, folder))
+    return replace.replaced_texts(_files(spark, folder), replace.steps(DELETE, REPLACE))
 
 
 QUERIES = {f.__name__: f for f in (context_sufficient, entry_projection, entry_combined_context, validate_required, dedup_first_wins, validation_counts, split_ratio, split_stratified, split_by_language, split_shuffled, split_counts, chatml_format, decisions_latest, decision_files, decision_entries, text_lines, unicode_delete, unicode_replace, unicode_pipeline, replacement_log, replacement_summary, replaced_texts)}

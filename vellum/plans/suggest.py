@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellum.operators import dictionary as d
 from vellum.operators import suggest as s
 from vellum.operators.decisions import best_decisions
-from vellum.plans.tables import WORD, sql_strip, sql_words, table
+from vellum.plans.tables import WORD, sql_answers, sql_strip, sql_words, table
 
 #: Keys left out of conflicts as ambiguous.
 AMBIGUOUS = ["yt$", "ye$", "wt$"]
@@ -140,9 +140,7 @@ _CASCADE = f"""
                                         CASE WHEN regexp_full_match(key, '{WORD}+p;') THEN key[:-3] || 'pre' END, CASE WHEN starts_with(key, 'q$') THEN 'que' || key[3:] END],
                                        lambda p: p IS NOT NULL AND NOT list_contains(known, p)) AS made FROM known),
         given AS (SELECT *, list_concat(list_transform(known, lambda e: {{'e': e, 'c': 0.8::DOUBLE, 's': 'dictionary'}}), list_transform(made, lambda e: {{'e': e, 'c': 0.4::DOUBLE, 's': 'pattern'}})) AS g FROM made WHERE key IS NOT NULL),
-        -- none of the fixed answers' words that hold other characters than these two is in the tables
-        fixed(word, answers) AS (VALUES ('co$cerning', ['concerning']), ('lear$ed', ['learned']), ('substa$tial', ['substantial']), ('iudgme$t', ['judgment', 'judgement']), ('argume$ts', ['arguments']), ('motiõ', ['motion']),
-            ('co$sider', ['consider']), ('demo$strated', ['demonstrated']), ('mai$tained', ['maintained']), ('incu$ming', ['incoming']), ('sta$ding', ['standing']), ('gra$tit', ['granted']), ('conditiou$', ['condition']), ('obedie$ce', ['obedience'])),
+        {sql_answers()},
         sug AS (SELECT given.*, CASE WHEN len(g) > 0 THEN g ELSE list_transform(coalesce(answers, [CASE WHEN contains(key, '$') THEN replace(key, '$', 'n') WHEN contains(key, 'õ') THEN replace(key, 'õ', 'on') ELSE key END]),
                                                                                 lambda e: {{'e': e, 'c': 0.8::DOUBLE, 's': 'language_model'}}) END AS sug FROM given LEFT JOIN fixed ON word = key),
         rows AS (SELECT sug.* EXCLUDE (sug), i, sug[i].e AS expansion, sug[i].c AS confidence, sug[i].s AS source FROM sug, unnest(generate_series(1, len(sug))) AS t(i)),

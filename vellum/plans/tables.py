@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.functions.text import MACRONS, OFFLINE_ANSWERS, RAISED, SIGNS, TILDES
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -11,9 +13,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
-# Markers and their written forms, in the order they are applied.
-MACRON_TILDE = [(a, b + "$") for a, b in zip("āēīōū", "aeiou", strict=True)] + [("n̄", "n$"), ("m̄", "m$")] + [(a, b + "$") for a, b in zip("ãẽĩõũñ", "aeioun", strict=True)]
-REST = [(a, b + "$") for a, b in zip("ᵃᵉⁱᵒᵘʳˢᵗ", "aeiourst", strict=True)] + [("ꝑ", "p$"), ("ꝓ", "p$"), ("ꝗ", "q$"), ("ꝙ", "q$"), ("ꝯ", "con$")]
+MACRON_TILDE = [*MACRONS, *TILDES]
+REST = [*RAISED, *SIGNS]
+
+
+def sql_text(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sql_answers() -> str:
+    """The fixed offline answers as rows of word and answers."""
+    rows = (f"({sql_text(word)}, [{', '.join(map(sql_text, answers))}])" for word, answers in OFFLINE_ANSWERS.items())
+    return f"fixed(word, answers) AS (VALUES {', '.join(rows)})"
 
 
 def sql_replace(x: str, pairs: list[tuple[str, str]]) -> str:

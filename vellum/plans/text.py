@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as t
-from vellum.plans.tables import BLANK, MACRON_TILDE, WORD, sql_markers, sql_period, sql_replace, sql_strip, sql_words, table
+from vellum.plans.tables import BLANK, MACRON_TILDE, WORD, sql_answers, sql_markers, sql_period, sql_replace, sql_strip, sql_words, table
 
 
 def normalize_markers(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,12 +140,9 @@ SQL = {
     "combined_context": f"SELECT abbr_no, {_TEXT('context_before')} || ' ' || {_TEXT('abbr_text')} || ' ' || {_TEXT('context_after')} AS context FROM abbr_records",
     "entry_ids": f"SELECT abbr_no, 'abbr_' || md5({_TEXT('abbr_text')} || {_TEXT('file_path')}) AS entry_id, 'expan_' || substr(md5(file_path || '#' || node_ord), 1, 8) AS expan_id FROM abbr_records",
     "assistant_placeholder": "SELECT abbr_no, replace(normalized_form, '$', 'n') AS answer, normalized_form AS as_is FROM abbr_records",
-    "lm_offline_fallback": """
+    "lm_offline_fallback": f"""
         WITH k AS (SELECT abbr_no, coalesce(abbr_text, normalized_form) AS key FROM abbr_records),
-        fixed(word, answers) AS (VALUES ('co$cerning', ['concerning']), ('lear$ed', ['learned']), ('motiõ', ['motion']), ('substa$tial', ['substantial']), ('iudgme$t', ['judgment', 'judgement']),
-            ('argume$ts', ['arguments']), ('co$sider', ['consider']), ('demo$strated', ['demonstrated']), ('mai$tained', ['maintained']), ('❧', ['pilcrow']), ('Kingis', ['King''s']), ('Maieſteis', ['Majesty''s']),
-            ('beiring', ['bearing']), ('incu$ming', ['incoming']), ('Inglis', ['English']), ('heines', ['highness']), ('thair', ['their']), ('gude', ['good']), ('Intreatment', ['treatment']), ('freindly', ['friendly']),
-            ('vſage', ['usage']), ('abbreviated$word', ['abbreviatedword']), ('preſervatiou$', ['preservation']), ('sta$ding', ['standing']), ('gra$tit', ['granted']), ('conditiou$', ['condition']), ('obedie$ce', ['obedience']))
+        {sql_answers()}
         SELECT abbr_no, unnest(coalesce(answers, [CASE WHEN contains(key, '$') THEN replace(key, '$', 'n') WHEN contains(key, 'õ') THEN replace(key, 'õ', 'on') ELSE key END])) AS expansion
         FROM k LEFT JOIN fixed ON word = key WHERE key <> ''""",
 }

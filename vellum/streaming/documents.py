@@ -26,7 +26,7 @@ def decided(batch: DataFrame, dictionary: DataFrame, lemmas: DataFrame | None =
     """Decisions of a batch of documents; keys of one letter take ``lemmas`` (``lemma``) where they are given."""
     found = suggest.suggestions(tei.abbreviations(tei.scan_documents(batch)), dictionary, lemmas=lemmas)
     best = suggest.top(found, "file_path", "node_ord", "abbr_text", "normalized_form").join(batch.select("file_path", "seen_at"), "file_path")
-    key = F.coalesce(F.nullif("abbr_text", F.lit("")), F.nullif("normalized_form", F.lit("")), F.lit("unknown"))
+    key = F.coalesce(F.nullif("abbr_text", F.lit("")), F.nullif("normalized_form", F.lit("")), F.concat(F.lit("unknown_"), "file_path", F.lit("#"), F.col("node_ord").cast("string")))
     return best.select(key.alias("abbr_key"), "expansion", "confidence", "source", "file_path", "seen_at", "node_ord")
 
 
