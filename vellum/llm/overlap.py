@@ -13,8 +13,11 @@ Five-word shingles would not do: one changed word in six breaks all of them, so
 Rarity comes from a sketch of fixed size with the count of each hashed word pair over all texts. The sketch
 only orders shingles; a collision makes a candidate more, never a pair less.
 
+A shingle that the sketch counts far more often than others is parted: index rows go to one of several parts by their class, and a
+probing row goes to all of them, so that no task takes all that meet in one shingle.
+
 Texts equal in abbreviation and words are one class; the join runs between classes, and their
-members are put back at the end.
+members are put back at the end. Only numbers travel for this; a text is shuffled once, where classes are made.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from vellum.llm.arrow import flat_words
 from vellum.llm.lookalike import reading, skeletons, term_key
 from vellum.llm.splits import file_key
+from vellum.operators.sizes import broadcast_if_small, spread_join
 from vellum.storage import materialize
 
 #: Numerator and denominator of the share of words that must agree.
@@ -39,6 +43,8 @@ SHARE = (5, 6)
 SKETCH = 1 << 18
 #: Shingles taken beyond the least prefix; a pair must then share one more than these within the prefixes.
 EXTRA = 2
+#: Times the mean count of a sketch's cells, and least count, from which a shingle is parted; a part for each such number of occurrences.
+HOT = (32, 50_000)
 
 
 class _WordsOnly(dict):
@@ -120,8 +126,11 @@ def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], sketch) -> Iterator[pa.RecordBatch]:
-    """(token, cid, n, pos): the rarest shingles of each class, so many that enough of them must meet."""
+def _prefixes(batches: Iterator[pa.RecordBatch], sketch, block: int, probing: bool) -> Iterator[pa.RecordBatch]:
+    """(token, cid, n, pos): the rarest shingles of each class, so many that enough of them must meet.
+
+    A shingle counted more than ``block`` times has parts; a probing row is put out for each of them, an indexed one for its own.
+    """
     longest = 1024
     table = np.array([breakable(k) for k in range(longest)])
     for batch in batches:
@@ -136,30 +145,41 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sketch) -> Iterator[pa.RecordBa
         token = _mix(_mix(pairs, keys[row]), times)
         weight = sketch.value[(pairs % np.uint64(SKETCH)).astype(np.int64)]
         order = np.lexsort((token, weight, row))
-        row, token = row[order], token[order]
+        row, token, weight = row[order], token[order], weight[order]
         start = np.searchsorted(row, np.arange(len(n)))
         pos = np.arange(len(row)) - start[row] if len(row) else row
         # A text of fewer than five words agrees with no other than its equals.
         most = np.where(n < longest, table[np.minimum(n, longest - 1)], [breakable(int(k)) if k >= longest else 0 for k in n])
         keep = (pos <= most[row] + EXTRA) & (n[row] >= 5) if len(row) else np.zeros(0, bool)
-        row = row[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["token", "cid", "n", "pos"])
+        row, token, pos = row[keep], token[keep], pos[keep] if len(keep) else pos
+        parts = 1 + weight[keep] // block if len(keep) else row
+        cids = batch.column(0).to_numpy(zero_copy_only=False)[row].astype(np.int64)
+        if probing:
+            again = np.repeat(np.arange(len(row)), parts)
+            part = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+            row, token, pos, cids = row[again], token[again], pos[again], cids[again]
+        else:
+            part = (_mix(cids.view(np.uint64), np.uint64(1)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64) if len(row) else parts
+        token = np.where(part > 0, _mix(token, part.astype(np.uint64)), token)
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cids), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], ["token", "cid", "n", "pos"])
 
 
 def classes(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries with their class, and the classes.
 
-    Entries: ``entry_no``, ``train``, ``key`` (the class). Classes: ``cid``, ``key``, ``abbr``, ``words``, ``train``, ``eval`` (whether
-    some member is in train, or not). Only entries with an abbreviation that occurs on both sides are kept.
+    Entries: ``entry_no``, ``train``, ``key`` (the class). Classes: ``cid`` (a number), ``key``, ``abbr``, ``words``, ``train``, ``eval`` (whether
+    some member is in train, or not). Only classes with an abbreviation that occurs on both sides are kept.
     """
     text = F.concat_ws(" ", F.coalesce("context_before", F.lit("")), F.coalesce("context_after", F.lit("")))
     given = entries.select("entry_no", (F.coalesce("split", F.lit("")) == "train").alias("train"), "abbreviation", text.alias("text")).where("abbreviation IS NOT NULL AND abbreviation <> ''")
     keyed = given.select("entry_no", "train", term_key("abbreviation").alias("abbr"), _word_text()("text").alias("words")).where("abbr <> ''")
-    keyed = materialize(keyed.withColumn("key", F.unhex(F.md5(F.concat_ws("\u0001", "abbr", "words")))))
+    keyed = materialize(keyed.withColumns({"key": F.unhex(F.md5(F.concat_ws("\u0001", "abbr", "words"))), "row": F.monotonically_increasing_id()}))
     both = keyed.groupBy("abbr").agg(F.min("train").alias("a"), F.max("train").alias("b")).where("a <> b").select("abbr")
-    live = keyed.join(both, "abbr", "left_semi")
-    found = live.groupBy("key").agg(F.min("abbr").alias("abbr"), F.min("words").alias("words"), F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"))
-    return keyed.select("entry_no", "train", "key"), materialize(found.withColumn("cid", F.monotonically_increasing_id()))
+    # The first row of a class stands for it, so that texts are read off that row instead of going through an aggregate.
+    first = keyed.groupBy("key").agg(F.min("row").alias("row"), F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"))
+    live = keyed.select("abbr", "words", "row").join(broadcast_if_small(both), "abbr", "left_semi")
+    found = live.join(first, "row").withColumnRenamed("row", "cid")
+    return keyed.select("entry_no", "train", "key"), materialize(found)
 
 
 def _word_text():
@@ -168,17 +188,19 @@ def _word_text():
     return F.pandas_udf(lambda texts: pd.Series(word_text(texts.tolist())), StringType())
 
 
-def class_pairs(found: DataFrame) -> DataFrame:
-    """``eval_key``, ``train_key``: classes that agree, one with a member outside train and one with a member in it; equal ones too."""
+def class_pairs(found: DataFrame, hot: tuple[int, int] = HOT) -> DataFrame:
+    """``eval_key``, ``train_key``: classes that agree, one with a member outside train and one with a member in it; equal ones too. ``hot``: see ``HOT``."""
     spark = found.sparkSession
     words = F.split("words", " ")
     cells = found.select(words.alias("words")).mapInArrow(_count_shingles, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SKETCH, np.int64)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     sketch = spark.sparkContext.broadcast(counts)
+    block = max(hot[1], hot[0] * int(counts.sum()) // max(1, int((counts > 0).sum())))
 
     def side(flag: str, name: str) -> DataFrame:
-        prefixes = found.where(flag).select("cid", words.alias("words"), "abbr").mapInArrow(lambda it: _prefixes(it, sketch), "token long, cid long, n int, pos int")
+        probing = flag == "train"
+        prefixes = found.where(flag).select("cid", words.alias("words"), "abbr").mapInArrow(lambda it: _prefixes(it, sketch, block, probing), "token long, cid long, n int, pos int")
         return prefixes.select("token", F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("pos").alias(f"p_{name}"))
 
     met = side("eval", "e").join(side("train", "t"), "token").where("e <> t")
@@ -189,7 +211,8 @@ def class_pairs(found: DataFrame) -> DataFrame:
     can = F.least(F.col("n_e") - 1 - F.col("p_e"), F.col("n_t") - 1 - F.col("p_t"))
     # The first shared shingle leaves room for all that must follow, each later one for one less.
     together = met.where((shorter >= agree) & (can >= must - EXTRA)).groupBy("e", "t").agg(F.count("*").alias("shared"), F.min(must).alias("must"))
-    candidates = together.where(F.col("shared") >= F.least("must", F.lit(EXTRA + 1))).select("e", "t")
+    # Written, so that their size is known: where they are few, they go to the texts and no text is shuffled.
+    candidates = materialize(together.where(F.col("shared") >= F.least("must", F.lit(EXTRA + 1))).select("e", "t"))
     text = lambda name: found.select(F.col("cid").alias(name), F.col("words").alias(f"w_{name}"), F.col("key").alias(f"k_{name}"))
     judged = candidates.join(text("e"), "e").join(text("t"), "t").select("w_e", "w_t", F.col("k_e").alias("eval_key"), F.col("k_t").alias("train_key"))
     near = judged.mapInPandas(_verify, "eval_key binary, train_key binary")
@@ -207,13 +230,17 @@ def cross_split_pairs(entries: DataFrame) -> DataFrame:
 
     Null contexts are empty; a null split is no train. An entry with a null or empty abbreviation, or one
     of characters without width only, agrees with none. Texts without any word agree with each other. A repeated row
-    counts once. Each pair of classes is verified once; the pairs of entries are its members'.
+    counts once; rows of one number with several texts are several entries, so their pairs can come more than once. Each pair of classes is verified once; the
+    pairs of entries are its members', and a class with very many members is spread over several tasks.
     """
     members, found = classes(entries)
-    pairs = class_pairs(found)
+    pairs = materialize(class_pairs(found))
+    keys = pairs.select(F.explode(F.array("eval_key", "train_key")).alias("key")).distinct()
+    members = materialize(members.join(broadcast_if_small(keys), "key", "left_semi").distinct())
     of = lambda train, name: members.where(F.col("train") == train).select(F.col("key").alias(f"{name}_key"), F.col("entry_no").alias(name))
-    joined = pairs.join(of(False, "eval"), "eval_key").join(of(True, "train"), "train_key")
-    return joined.select(F.least("eval", "train").alias("entry_a"), F.greatest("eval", "train").alias("entry_b")).where("entry_a < entry_b").distinct()
+    half = spread_join(of(False, "eval"), pairs, "eval_key", "eval")
+    joined = spread_join(half, of(True, "train"), "train_key", "eval")
+    return joined.select(F.least("eval", "train").alias("entry_a"), F.greatest("eval", "train").alias("entry_b")).where("entry_a < entry_b")
 
 
 def links(entries: DataFrame) -> DataFrame:
