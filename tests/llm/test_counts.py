@@ -101,6 +101,50 @@ def test_pack_frames(spark):
     assert p.pack(spark.createDataFrame([(1, 0)], "doc_id long, n_tokens long")).count() == 1
 
 
+def test_exchange_certifies(spark):
+    # Partitions alone can't fill their last containers; together they can.
+    rng = random.Random(11)
+    rows = [(i, 0, rng.randint(1, 600)) for i in range(700)]
+    items = spark.createDataFrame(rows, "row_id long, piece int, size long")
+    found = p.pack_parts(items, 1024, per_part=70)
+    parts = [df.select("part").distinct().count() for df, _ in found]
+    assert len(found) > 2 and parts[0] < 9 and sum(parts[1:-1]) > 0 and parts[-1] <= 2
+    got = [r for df, _ in found for r in df.collect()]
+    assert sorted((r["row_id"], r["size"]) for r in got) == sorted((a, c) for a, _, c in rows)
+    fill, alone = Counter(), Counter()
+    for df, turn in found:
+        for r in df.collect():
+            fill[turn, r["part"], r["bin"]] += r["size"]
+    for part in {r[0] for r in p.materialize(items).selectExpr("pmod(xxhash64(row_id, piece), 10)").distinct().collect()}:
+        sizes = np.array([r["size"] for r in items.where(f"pmod(xxhash64(row_id, piece), 10) = {part}").collect()])
+        alone[part] = p.best_fit_decreasing(sizes, 1024)[1]
+    assert max(fill.values()) <= 1024 and len(fill) <= sum(alone.values()) and len(fill) <= 1 + -(-sum(fill.values()) // 1024) * 1.02
+
+
+def test_exchange_of_two_partitions_closes_their_gap():
+    import pandas as pd
+
+    def part(n, sizes):
+        where, bins = p.best_fit_decreasing(np.array(sizes), 10)
+        return pd.DataFrame({"row_id": range(n * 100, n * 100 + len(sizes)), "piece": 0, "size": sizes, "part": n, "bin": where, "bins": bins, "bound": p.lower_bound(np.array(sizes), 10)})
+
+    given = pd.concat([part(1, [6, 6, 6]), part(2, [4, 4, 4, 3])])
+    assert given.groupby("part")["bins"].first().sum() == 5
+    got = p._exchange(given, 10)
+    assert got.groupby("part")["bins"].first().sum() == 4 and set(got["row_id"]) == set(given["row_id"])
+    assert (got.groupby(["part", "bin"])["size"].sum() <= 10).all()
+    one = p._exchange(part(3, [6, 5, 5]), 10)
+    assert one["bins"].iloc[0] == 2
+
+
+def test_empty_items_take_no_container(spark):
+    df = spark.createDataFrame([(i, 0 if i % 2 else 700) for i in range(200)], "doc_id long, n_tokens long")
+    report = p.fill_report(p.pack(df, per_part=30)).first()
+    assert (report["items"], report["containers"]) == (200, 100)
+    kept = p.kept_whole(p.pack(spark.createDataFrame([(1, 3000), (2, 0), (3, None), (4, 1024)], "doc_id long, n_tokens long"))).collect()
+    assert sorted(tuple(r) for r in kept) == [(i, True, True) for i in (1, 2, 3, 4)]
+
+
 VOCABULARY = t.DEFAULT_VOCABULARY
 
 
@@ -132,6 +176,18 @@ def test_tokens_against_the_public_tokenizer(spark, automaton):
     assert t.decode(spark.createDataFrame([(1, None), (2, []), (3, [10**6])], "doc_id long, ids array<int>")).where("text = ''").count() == 2
 
 
+def test_table_of_transitions(automaton, monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeiosthnr $é") for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    automaton._trie = None
+    first = [automaton._path(w.encode()) for w in words]
+    states, transitions = automaton.table_size()
+    assert 0 < states <= transitions + 1 <= 1 + sum(len(w.encode()) for w in words)
+    assert [automaton._path(w.encode()) for w in words] == first and automaton.table_size() == (states, transitions)
+    monkeypatch.setattr(t, "MOST_STATES", 50)  # the table is begun anew over and over
+    assert [automaton._path(w.encode()) for w in words] == first and automaton.table_size()[0] < states
+
+
 def test_small_automata():
     def greedy(word, merges):
         parts = list(word)

@@ -57,6 +57,25 @@ def test_find_before_line_ends(spark):
     assert [tuple(r) for r in k.find_lookalikes(texts, forms.where("form_id = 2"), ["no"], ["a"]).collect()] == [(20, "a", 2)]
 
 
+def test_every_blank_at_either_end(spark):
+    # The same as skeletons of all values, without any filter before.
+    rng = random.Random(3)
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace() or unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp", "Cf", "Cc")]
+    values = [b + "co$t" for b in blanks] + ["co$t" + b for b in blanks] + ["co" + b + "$t" for b in blanks]
+    values += ["".join(rng.choice(["c", "o", "$", "t", "ｃ", "о", " ", "\n", "\u200b", "x"]) for _ in range(rng.randint(0, 6))) for _ in range(500)]
+    forms = spark.createDataFrame([(1, "co$t"), (2, "x"), (3, "t o")], "form_id long, form string")
+    texts = spark.createDataFrame(list(enumerate(values)), "no long, a string")
+    looks = {k.skeleton(f): i for i, f in ((1, "co$t"), (2, "x"), (3, "t o"))}
+    want = sorted((i, "a", looks[k.skeleton(v)]) for i, v in enumerate(values) if k.skeleton(v) in looks and v not in ("co$t", "x", "t o"))
+    assert len(want) > 100 and sorted(tuple(r) for r in k.find_lookalikes(texts, forms, ["no"], ["a"]).collect()) == want
+
+
+def test_table_of_look_alikes():
+    assert k.skeletons(["ᏢᎠᏟ", "ꓟꓴꓢ", "ⲟⲣⲥ", "ᴠᴏx"]) == ["PDC", "MUS", "opc", "vox"]
+    assert all(k._PROTOTYPES[ord(b)] == b for _, right in k._ALIKE for b in right)
+
+
 def test_groups(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "ａ"), (3, "a"), (4, "b"), (5, None)], "no long, x string")
-    assert sorted(tuple(r) for r in k.groups_by_look(df, "x", "no").collect()) == [("a", 2, 1, 2), ("ａ", 1, 2, 2)]
+    df = spark.createDataFrame([(1, "a", None), (2, "ａ", "z"), (3, "a", "a"), (4, "b", "ａ"), (5, None, None)], "no long, x string, field string")
+    got = sorted(tuple(r) for r in k.groups_by_look(df, ["x", "field"], "no").collect())
+    assert got == [("field", "a", 1, 3, 2), ("field", "ａ", 1, 4, 2), ("x", "a", 2, 1, 2), ("x", "ａ", 1, 2, 2)]

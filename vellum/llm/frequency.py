@@ -105,8 +105,9 @@ def count_ngrams(records: DataFrame, sigma: int = 1, hot: int = 100_000) -> Data
     first = parts[0]
     if sigma > 1:
         counted = materialize(counted)
+        # Of the distinct suffixes at most one in ``hot`` names a hot first term, so these few are sent along and no term is shuffled by itself.
         heavy = counted.groupBy("field", first.alias("first")).agg(F.count("*").alias("size")).where(F.col("size") > hot).select("field", "first", F.lit(True).alias("heavy"))
-        counted = counted.withColumn("first", first).join(heavy, ["field", "first"], "left")
+        counted = counted.withColumn("first", first).join(F.broadcast(heavy), ["field", "first"], "left")
         route = F.when(F.col("heavy") & (F.size(parts) > 1), F.concat(parts[0], F.lit(_SEP), parts[1])).otherwise(first)
     else:
         route = first

@@ -7,8 +7,8 @@ ordinary letters, and a mark against none stay apart.
 
 The table is a rule, not a list: characters with a wide, narrow, font, small, no-break or ligature
 decomposition take the parts of that decomposition; format characters, controls, fillers and
-variation selectors vanish; every blank becomes a space. Only the letters borrowed from other
-alphabets are listed.
+variation selectors vanish; every blank becomes a space. Only the letters that other alphabets share
+with the Latin one in look are listed.
 """
 
 from __future__ import annotations
@@ -21,16 +21,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-# Letters and signs of other alphabets, then the Latin ones they look like.
+# Letters and signs of other alphabets, then the Latin ones they look like. Cyrillic, Greek, Armenian, Coptic, Cherokee, Lisu, and others.
 _ALIKE = [
-    ("асԁеһіјӏорԛѕухѵԝ", "acdehijlopqsyxvw"),
-    ("АВСЕԌНІЈКМОРԚЅТХУѴԜ", "ABCEGHIJKMOPQSTXYVW"),
+    ("асԁеһіјӏорԛѕухѵԝү", "acdehijlopqsyxvwy"),
+    ("АВСЕԌНІЈКМОРԚЅТХУѴԜҮ", "ABCEGHIJKMOPQSTXYVWY"),
     ("αινορυϲϳ", "aivopucj"),
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),
-    ("օսհցոՕՍ", "ouhgnOU"),
+    ("օսհցոյՕՍՏԼ", "ouhgnjOUSL"),
+    ("ⲟⲣⲥⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "opcBHIKMNOPCTYX"),
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZVSLCPKB"),
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    ("ᴄᴏᴜᴠᴡᴢꜱ", "couvwzs"),
     ("ɑɡªº", "agᵃᵒ"),
     ("‐‑‘’ʼ", "--'''"),
-    ("̦̅͂", "̧̄̃"),
+    ("̦̅͂", "̧̄̃"),
 ]
 _LISTED = {ord(a): b for left, right in _ALIKE for a, b in zip(left, right, strict=True)}
 # Characters without width that are no format characters.
@@ -156,13 +160,14 @@ def _any_plain_alike(forms: DataFrame) -> bool:
     return not forms.where(skeleton_of("__form").rlike(r"^[\x20-\x7e]*$")).isEmpty()
 
 
-def groups_by_look(texts: DataFrame, column: str, key: str) -> DataFrame:
-    """One row for each spelling that shares its skeleton with another: ``spelling``, ``n`` rows, ``first_key`` and ``n_spellings`` of its group.
+def groups_by_look(texts: DataFrame, fields: list[str], key: str) -> DataFrame:
+    """One row for each spelling of a field that shares its skeleton with another of that field: ``field``, ``spelling``, ``n`` rows, ``first_key`` and ``n_spellings`` of its group.
 
     Null texts give no row. Spellings are counted before skeletons are formed, so a frequent value is
     one row, and a skeleton's group holds spellings, not texts.
     """
-    spellings = texts.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("spelling")).agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
+    long = texts.select(F.col(key).alias("key"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("spelling")) for f in fields))).alias("x")).select("key", "x.*")
+    spellings = long.where("spelling IS NOT NULL").groupBy("field", "spelling").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
     keyed = spellings.withColumn("skeleton", skeleton_of("spelling"))
-    sizes = keyed.groupBy("skeleton").agg(F.count("*").alias("n_spellings"))
-    return keyed.join(sizes, "skeleton").where("n_spellings > 1").select("spelling", "n", "first_key", "n_spellings")
+    sizes = keyed.groupBy("field", "skeleton").agg(F.count("*").alias("n_spellings"))
+    return keyed.join(sizes, ["field", "skeleton"]).where("n_spellings > 1").select("field", "spelling", "n", "first_key", "n_spellings")

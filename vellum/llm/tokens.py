@@ -4,9 +4,13 @@ Method: tokenization automaton. The merges are compiled in order into a determin
 token labels: one state for each label, the one reached by reading it. A merge of u and v applies one
 gadget: the state of u loses its arc v; every state with an arc u gets an arc uv; the state of uv is a
 copy of the state of v at that moment. States are kept as what they were copied from, and when, and
-the arcs they lost since, so the table is as large as the list of merges. Paths of the finished automaton
-are exactly the token sequences the merges produce, and each prefix of a word has one such path; a word is
-encoded left to right by the one arc that leads on. Decoding emits the arcs' labels.
+the arcs they lost since, so this part is as large as the list of merges. Paths of the finished automaton
+are exactly the token sequences the merges produce, and each prefix of a word has one such path.
+
+Words are read byte by byte, left to right, through a table of transitions by state and byte. A state of the byte
+automaton is the label that the read prefix's path ends in, and the labels begun but not finished, each with the state it
+began in. A transition is worked out at first use and then stands in the table; the labels of a word are those its states end in, from the last
+one back. Decoding emits the arcs' labels.
 
 The JVM splits texts into words, one Arrow batch encodes each of its distinct words once, and arrays
 of ids are put together without Python touching single words.
@@ -29,6 +33,8 @@ DEFAULT_VOCABULARY = os.environ.get("VELLUM_TOKENIZER", "/opt/tokenizers/byte_bp
 # Fixed value: how the public tokenizer parts a text into words, in Java's spelling of the blanks.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 _MOST_CACHED = 400_000
+#: States of the byte automaton that a worker holds at most; beyond, its table is begun anew.
+MOST_STATES = 200_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -62,11 +68,33 @@ class TokenAutomaton:
             else:
                 live.append(False)
         self.labels = labels
-        self.longest = max(map(len, labels))
         self.words: dict[str, list[int]] = {}
+        self._trie: tuple[dict[int, int], list[int], list[bool]] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"words": {}, "_known": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_table", "_states", "_number", "_last")} | {"words": {}, "_known": {}, "_trie": None}
+
+    def _begin(self) -> None:
+        """The trie of all labels (child by node and byte, label of each node, whether it has children), and an empty table."""
+        if self._trie is None:
+            child, label, inner = {}, [-1], [False]
+            for raw, k in self.labels.items():
+                node = 0
+                for b in raw:
+                    inner[node] = True
+                    at = child.get(node << 8 | b)
+                    if at is None:
+                        at = child[node << 8 | b] = len(label)
+                        label.append(-1)
+                        inner.append(False)
+                    node = at
+                label[node] = k
+            self._trie = child, label, inner
+        # State 0: nothing read. Of each state the label it ends in, and pairs of a state and a node of the trie that may go on.
+        self._states: list[tuple] = [((-1, 0),)]
+        self._number: dict[tuple, int] = {}
+        self._last: list[int] = [-1]
+        self._table: dict[int, int] = {}
 
     def _arc(self, state: int, label: int, before: int) -> bool:
         """Whether the state has the arc, in the automaton made of the labels below ``before``."""
@@ -100,24 +128,45 @@ class TokenAutomaton:
             found = self.words[word] = [self.ids[t] for t in self._path(raw)]
         return found
 
+    def _step(self, state: int, byte: int) -> int:
+        """The state after one more byte, entered in the table."""
+        child, label, inner = self._trie
+        last, on = -1, []
+        for begun, node in self._states[state]:
+            node = child.get(node << 8 | byte)
+            if node is not None:
+                k = label[node]
+                if k >= 0 and (begun < 0 or self.arc(begun, k)):
+                    last = k
+                if inner[node]:
+                    on.append((begun, node))
+        key = (last, *on)
+        to = self._number.get(key)
+        if to is None:
+            to = self._number[key] = len(self._states)
+            self._states.append((*on, (last, 0)))
+            self._last.append(last)
+        self._table[state << 8 | byte] = to
+        return to
+
     def _path(self, raw: bytes) -> list[int]:
-        whole = self.labels.get(raw)
-        if whole is not None:
-            return [whole]
-        n, get = len(raw), self.labels.get
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                label = get(raw[start:end])
-                if label is not None and (start == 0 or self.arc(last[start], label)):
-                    last[end] = label
-                    break
-        path, end = [], n
-        while end:
-            path.append(last[end])
-            end -= len(self.bytes[last[end]])
+        if self._trie is None or len(self._states) > MOST_STATES:
+            self._begin()
+        get, step, state, ends = self._table.get, self._step, 0, []
+        for b in raw:
+            to = get(state << 8 | b)
+            state = step(state, b) if to is None else to
+            ends.append(state)
+        path, at = [], len(raw)
+        while at:
+            path.append(self._last[ends[at - 1]])
+            at -= len(self.bytes[path[-1]])
         return path[::-1]
 
+    def table_size(self) -> tuple[int, int]:
+        """States and transitions of the byte automaton that stand in the table so far."""
+        return (0, 0) if self._trie is None else (len(self._states), len(self._table))
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, by emitting the arcs' labels; ids of no label emit nothing."""
         if not hasattr(self, "_label_of"):
