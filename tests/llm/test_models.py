@@ -39,8 +39,9 @@ def test_parts(spark, model):
     got = sorted(tuple(r)[:5] for r in n.language_parts(df, "no", ["a", "b"], model).where("lang <> 'und'").collect())
     assert got == [(1, "a", 0, 9, "eng"), (2, "a", 0, 8, "lat"), (2, "a", 8, 9, "fra"), (3, "a", 0, 7, "ita"), (3, "a", 7, 10, "eng")]
     assert n.language_parts(df.limit(0), "no", ["a"], model).count() == 0
-    carried = n.language_parts(df, "no", ["a"], model, ("lang",)) if "lang" not in ("lang",) else n.language_parts(df.withColumnRenamed("lang", "kept"), "no", ["a"], model, ("kept",))
-    assert {r["kept"] for r in carried.collect()} == {"clash"}
+    carried = n.language_parts(df, "no", ["a"], model, ("lang",))
+    assert carried.columns == ["no", "given_lang", "field", "first_word", "n_words", "lang", "confidence"]
+    assert {r["given_lang"] for r in carried.collect()} == {"clash"}
 
 
 def test_held_out_accuracy(model):
@@ -53,6 +54,38 @@ def test_held_out_accuracy(model):
     assert long["words"].tolist() == [30_000] and model.languages[long["lang"][0]] == "eng"
 
 
+def test_portions_cover_every_row_once():
+    from vellum.llm.arrow import portions
+
+    column = pa.array([["a"] * k for k in (0, 3, 9, 1, 0, 0, 2, 2, 50, 0)], pa.list_(pa.string()))
+    for given in (column, column.slice(2, 6), column.slice(0, 0)):
+        for most in (1, 4, 5, 1000):
+            found = list(portions(given, most))
+            assert [i for start, n in found for i in range(start, start + n)] == list(range(len(given)))
+            assert all(n == 1 or sum(len(x) for x in given.slice(start, n).to_pylist()) <= most for start, n in found)
+
+
+def test_foreign_texts_are_turned_away_and_own_ones_kept(model):
+    rng = random.Random(12)
+    for k in (4, 6, 12, 30):
+        own = n.detect(model, pa.array([text(rng, lang, k).split() for lang in WORDS for _ in range(50)]))
+        assert (own["lang"] >= 0).mean() > 0.98
+        foreign = n.detect(model, pa.array([n._foreign(text(rng, lang, k).split(), i) for i in range(50) for lang in WORDS]))
+        assert (foreign["lang"] < 0).mean() > 0.9 and (foreign["confidence"][foreign["lang"] < 0] == 0).all()
+    assert (np.diff(model.least[1:7]) >= -0.05).all() and model.accepted(np.array([1.0, 0.0]), np.array([500, 500])).tolist() == [True, False]
+
+
+def test_confidence_is_a_share_of_right_names(model):
+    rng = random.Random(13)
+    given = [(lang, (text(rng, lang, 2) + " " + text(rng, rng.choice(list(WORDS)), 1)).split()) for lang in WORDS for _ in range(200)]
+    near = model.of_texts([w for _, w in given])
+    right = np.array([model.languages[b] == lang for b, (lang, _) in zip(near.argmax(1), given, strict=True)])
+    sure = model.confidence(near)
+    assert ((sure > 0) & (sure <= 1)).all() and abs(sure.mean() - right.mean()) < 0.1
+    assert right[sure > np.median(sure)].mean() >= right[sure <= np.median(sure)].mean()
+    assert n.fit([("eng", "a b"), ("eng", "c d")]).confidence(np.array([[0.4]])).tolist() == [1.0]
+
+
 def test_neighbours_in_one_language_are_joined(model, monkeypatch):
     rng = random.Random(7)
     lat, eng, fra = (text(rng, lang, 7).split() for lang in ("lat", "eng", "fra"))

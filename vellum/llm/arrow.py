@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,3 +27,14 @@ def ragged_take(starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> t
     ends = np.cumsum(n)
     shift = starts[codes] - (ends - n)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, n), ends
+
+
+def portions(column: pa.Array, most: int = 400_000) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of parts of a list column with about ``most`` words each, so that what is worked out for each word has a bound. A longer text is a part by itself."""
+    offsets = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+        stop = min(stop, len(column))
+        yield start, stop - start
+        start = stop

@@ -2,8 +2,9 @@
 
 Method: nearest-centroid classification. A text is the normalised TF-IDF vector of the n-grams of its words; a
 language is several centroids, found by clustering its labelled texts, and the nearest centroid by
-cosine names the language. A text further from every centroid than almost all texts the model was
-fitted on is rejected and named ``und``.
+cosine names the language. A text further from every centroid than a text of its length may be is rejected and named ``und``: how far
+that is, is fitted on texts held out from a model of the others, and on foreign ones, the same texts with their letters exchanged, and lies between the two.
+Its confidence is the share of held-out texts with as clear a lead of the nearest language over the next that were named rightly.
 
 Parts: each word is compared with the centroids on its own, and the most likely course of languages over the
 words is found by dynamic programming, where a change costs something, and less at a punctuation mark. Every
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.arrow import flat_words, ragged_take
+from vellum.llm.arrow import flat_words, portions, ragged_take
 from vellum.llm.lookalike import skeletons
 from vellum.llm.splits import BLANK
 
@@ -38,6 +39,8 @@ NAMES = {
     "ita": ["it", "ita", "italian", "italiano", "italiana", "italien", "italienne", "italice", "italica", "ital", "italienisch"],
 }
 DIMENSIONS = 1 << 15
+#: Lengths in words for which the least cosine is fitted; between them it is interpolated, beyond the last it stays.
+LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Weight of a whole word against an n-gram of its letters. Whole words are hashed to the upper half of the dimensions.
 WHOLE_WORD = 3.0
 _LETTER = re.compile(r"[^\W\d_]")
@@ -75,13 +78,14 @@ def features(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    """Centroids (rows) with the language each belongs to, weights of the n-grams, and the least cosine accepted."""
+    """Centroids (rows) with the language each belongs to, weights of the n-grams, the least cosine accepted by number of words, and the logistic curve of confidence."""
 
     languages: list[str]
     of: np.ndarray
     centroids: np.ndarray
     idf: np.ndarray
-    least: float = 0.0
+    least: np.ndarray = field(default_factory=lambda: np.zeros(LENGTHS[-1] + 1))
+    trust: tuple[float, float] = (0.0, 2.0)
     _words: dict = field(default_factory=dict)
 
     def word_table(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +121,28 @@ class Model:
         return np.stack([near[:, self.of == k].max(1) for k in range(len(self.languages))], 1)
 
 
+    def accepted(self, top: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Whether parts of so many words are near enough."""
+        return top >= self.least[np.minimum(words, len(self.least) - 1)]
+
+    def confidence(self, near: np.ndarray) -> np.ndarray:
+        """How sure the nearest language of each part is, from its lead over the next; 1 for a model of one language."""
+        return 1 / (1 + np.exp(-(self.trust[0] + self.trust[1] * _lead(near)))) if near.shape[1] > 1 else np.ones(len(near))
+
+    def of_texts(self, texts: list[list[str]]) -> np.ndarray:
+        """Cosines of whole texts, given as words."""
+        tokens = list(dict.fromkeys(w for ws in texts for w in ws))
+        number = {w: i for i, w in enumerate(tokens)}
+        part = np.repeat(np.arange(len(texts)), [len(ws) for ws in texts])
+        return self.cosines(part, len(texts), np.fromiter((number[w] for ws in texts for w in ws), np.int64, len(part)), self.word_table(tokens))
+
+
+def _lead(near: np.ndarray) -> np.ndarray:
+    """Logarithm of the nearest language's cosine over the next one's, at most 3."""
+    order = np.sort(np.maximum(near, 1e-3), axis=1)
+    return np.minimum(np.log(order[:, -1] / order[:, -2]), 3.0)
+
+
 def _tfidf(texts: list[list[int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and normalised weight of each text's vector."""
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
@@ -127,20 +153,16 @@ def _tfidf(texts: list[list[int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     return r, f, w / np.maximum(norm, 1e-12)[r]
 
 
-def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = (), clusters: int = 4, rejected: float = 0.002) -> Model:
+def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = (), clusters: int = 4, rejected: float = 0.002, measure: bool = True) -> Model:
     """Fit on (language, text) pairs: ``samples`` are trusted, ``labelled`` only where a model of the samples agrees.
 
-    ``clusters``: most centroids for each language. ``rejected``: share of the fitted texts that the least accepted
-    cosine, halved for safety on short texts, would turn away. No samples, or of one language only: that is
+    ``clusters``: most centroids for each language. ``rejected``: share of held-out texts of any length that may be turned away.
+    ``measure``: whether to fit the least cosine and the confidence; else nothing is rejected. No samples, or of one language only: that is
     all the model knows.
     """
     if labelled:
-        first = fit(samples, (), clusters, rejected)
-        words = [t.split() for _, t in labelled]
-        tokens = list(dict.fromkeys(w for ws in words for w in ws))
-        number = {w: i for i, w in enumerate(tokens)}
-        part = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
-        near = first.cosines(part, len(words), np.fromiter((number[w] for ws in words for w in ws), np.int64, len(part)), first.word_table(tokens))
+        first = fit(samples, (), clusters, measure=False)
+        near = first.of_texts([t.split() for _, t in labelled])
         samples = [*samples, *(pair for pair, best in zip(labelled, near.argmax(1), strict=True) if first.languages[best] == pair[0])]
     languages = sorted({lang for lang, _ in samples})
     known = {w: features(f) if f else [] for ws in [list(dict.fromkeys(w for _, t in samples for w in t.split()))] for w, f in zip(ws, folded(ws), strict=True)}
@@ -159,12 +181,49 @@ def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = (), cl
         centroids += list(found)
         of += [k] * len(found)
     model = Model(languages, np.array(of), np.array(centroids, np.float32), idf)
-    if len(texts):
-        cos = np.stack([np.bincount(row, weight * c[feat], len(texts)) for c in model.centroids], 1).max(1)
-        model.least = float(np.quantile(cos, rejected)) / 2
+    if measure and len(samples) > 1:
+        held = samples[1::2]
+        model.least, model.trust = _limits(fit(samples[::2], (), clusters, measure=False), held, rejected)
     return model
 
 
+def _foreign(words: list[str], seed: int) -> list[str]:
+    """Words in no language: their letters exchanged by a permutation of the alphabet."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return " ".join(folded(words)).translate(str.maketrans(letters, "".join(np.random.default_rng(seed).permutation(list(letters))))).split()
+
+
+def _limits(other: Model, held: list[tuple[str, str]], rejected: float) -> tuple[np.ndarray, tuple[float, float]]:
+    """The least cosine by number of words, and the curve of confidence, from texts ``held`` out of the model ``other``."""
+    limits, leads, right = [], [np.zeros(0)], [np.zeros(0)]
+    for k in LENGTHS:
+        some = [(lang, w[:k]) for lang, w in ((lang, t.split()) for lang, t in held) if len(w) >= k and lang in other.languages]
+        if len(some) < 10 and limits:
+            limits.append(limits[-1])
+            continue
+        near = other.of_texts([w for _, w in some])
+        own = near.max(1, initial=0.0)
+        foreign = other.of_texts([_foreign(w, i) for i, (_, w) in enumerate(some)]).max(1, initial=0.0)
+        low, high = (float(np.quantile(own, rejected)), float(np.quantile(foreign, 1 - rejected))) if some else (0.0, 0.0)
+        # Where the two lie apart, the middle on a scale of ratios; where they mix, own texts go first.
+        limits.append(float(np.sqrt(low * high)) if low > high else low)
+        if near.shape[1] > 1:
+            leads.append(_lead(near))
+            right.append(np.array([other.languages[b] == lang for b, (lang, _) in zip(near.argmax(1), some, strict=True)], float))
+    return np.interp(np.arange(LENGTHS[-1] + 1), LENGTHS, limits), _logistic(np.concatenate(leads), np.concatenate(right))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 20) -> tuple[float, float]:
+    """Intercept and slope of a logistic curve, by Newton steps, drawn a little towards (0, 2)."""
+    w = np.array([0.0, 2.0])
+    design = np.stack([np.ones_like(x), x], 1)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-design @ w))
+        gradient = design.T @ (y - p) - 0.5 * (w - (0.0, 2.0))
+        w = w + np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 0.5 * np.eye(2), gradient)
+    return float(w[0]), float(w[1])
+
+
 def _cluster(mine: np.ndarray, row: np.ndarray, feat: np.ndarray, weight: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """Spherical k-means over some rows; the first centres are rows at even steps, so the result is always the same."""
     at = np.full(int(row.max(initial=-1)) + 1, -1)
@@ -241,8 +300,9 @@ def detect(model: Model, words: pa.Array, change: float = 5.5, at_mark: float =
     while True:
         best = near.argmax(1) if len(first) else np.zeros(0, np.int64)
         top = near[np.arange(len(first)), best]
+        good = model.accepted(top, np.diff(np.r_[first, n]))
         # Neighbours in one language are one part, classified again as a whole, until none are left.
-        same = (row_of[first][1:] == row_of[first][:-1]) & (best[1:] == best[:-1]) & (np.minimum(top[1:], top[:-1]) >= model.least)
+        same = (row_of[first][1:] == row_of[first][:-1]) & (best[1:] == best[:-1]) & good[1:] & good[:-1]
         if not same.any():
             break
         into, joined = np.r_[False, same], np.r_[same, False]
@@ -255,8 +315,8 @@ def detect(model: Model, words: pa.Array, change: float = 5.5, at_mark: float =
         "row": row_of[first],
         "first": first - starts[row_of[first]],
         "words": np.diff(np.r_[first, n]),
-        "lang": np.where(top < model.least, -1, best),
-        "confidence": top / np.maximum(np.maximum(near, 0).sum(1), 1e-9),
+        "lang": np.where(good, best, -1),
+        "confidence": np.where(good, model.confidence(near), 0.0) if n else np.zeros(0),
     }
 
 
@@ -264,30 +324,33 @@ def language_parts(texts: DataFrame, key: str, fields: list[str], model: Model,
     """``key``, ``field``, ``first_word``, ``n_words``, ``lang``, ``confidence``: one row for each part of each field of each row.
 
     A text in one language has one part, and no two neighbours of one row are in the same language, ``und`` aside. ``first_word`` counts from 0. ``lang`` is ``und`` where the part is like
-    no language of the model. Null, empty and blank texts, and those without a letter, have no part. Whole texts
-    are read, whatever their length; repeated rows repeat. The columns ``carry`` go along. No shuffle; the model is broadcast, and its size
+    no language of the model, with a confidence of 0. Null, empty and blank texts, and those without a letter, have no part. Whole texts
+    are read, whatever their length; repeated rows repeat. The columns ``carry`` go along, those named as a column of the result with ``given_`` before their name. No shuffle; the model is broadcast, and its size
     depends on the numbers of languages, centroids and n-gram dimensions alone.
     """
     shared = texts.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(texts.dtypes)
-    kept = [key, *carry]
+    made = ["field", "first_word", "n_words", "lang", "confidence"]
+    given = texts.select(key, *(F.col(c).alias(f"given_{c}" if c in made else c) for c in carry), *(F.col(f).alias(f"__{f}") for f in fields))
+    kinds = dict(given.dtypes)
+    kept = given.columns[: 1 + len(carry)]
     split = lambda c: F.split(F.coalesce(c, F.lit("")), f"{BLANK}+")
     names = pa.array([*model.languages, "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, name in enumerate(fields, start=len(kept)):
-                found = detect(shared.value, batch.column(i))
-                n = len(found["row"])
-                row = pa.array(found["row"])
-                lang = names.take(pa.array(np.where(found["lang"] < 0, len(names) - 1, found["lang"])))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(row) for k in range(len(kept))), pa.array([name] * n, pa.string()), pa.array(found["first"].astype(np.int32)), pa.array(found["words"].astype(np.int32)), lang.cast(pa.string()), pa.array(found["confidence"].astype(np.float64))],
-                    [*kept, "field", "first_word", "n_words", "lang", "confidence"],
-                )
+                for start, rows in portions(batch.column(i)):
+                    found = detect(shared.value, batch.column(i).slice(start, rows))
+                    n = len(found["row"])
+                    row = pa.array(found["row"] + start)
+                    lang = names.take(pa.array(np.where(found["lang"] < 0, len(names) - 1, found["lang"])))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(k).take(row) for k in range(len(kept))), pa.array([name] * n, pa.string()), pa.array(found["first"].astype(np.int32)), pa.array(found["words"].astype(np.int32)), lang.cast(pa.string()), pa.array(found["confidence"].astype(np.float64))],
+                        [*kept, *made],
+                    )
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in kept)
-    return texts.select(*kept, *(split(F.col(f)).alias(f) for f in fields)).mapInArrow(run, f"{schema}, field string, first_word int, n_words int, lang string, confidence double")
+    return given.select(*kept, *(split(F.col(f"__{f}")).alias(f"__{f}") for f in fields)).mapInArrow(run, f"{schema}, field string, first_word int, n_words int, lang string, confidence double")
 
 
 def fit_on(samples: DataFrame, labelled: DataFrame, label: Column, text: Column, key: str, per_language: int = 1500) -> Model:

@@ -13,6 +13,8 @@ Only sizes and row numbers travel, never texts, and a partition holds a bounded
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -164,11 +166,11 @@ def pack(sizes: DataFrame, capacity: int = 1024, per_part: int = 20_000) -> Data
     whole = numbered.where(F.col("n_tokens") > capacity).select("row_id", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece")).select("row_id", "piece", F.lit(capacity).cast("long").alias("size"), name.alias("container"), F.lit(True).alias("certified"))
     rest = numbered.select("row_id", F.when(F.col("n_tokens") > capacity, full).otherwise(0).alias("piece"), F.when(F.col("n_tokens") > capacity, F.col("n_tokens") % capacity).otherwise(F.col("n_tokens")).alias("size"))
     done = pack_parts(rest.where("size > 0"), capacity, per_part)
-    found = whole
-    for packed, turn in done:
-        found = found.unionByName(packed.select("row_id", "piece", "size", F.concat_ws("-", F.lit(turn), "part", "bin").alias("container"), (F.col("bins") == F.col("bound")).alias("certified")))
-    # The same few containers whatever the number of empty items.
-    some = [r[:] for r in found.groupBy("container").agg(F.min("certified").alias("certified")).orderBy(F.xxhash64("container")).limit(_FOR_EMPTY).collect()] or [("0-0-0", True)]
+    named = [packed.select("row_id", "piece", "size", F.concat_ws("-", F.lit(turn), "part", "bin").alias("container"), (F.col("bins") == F.col("bound")).alias("certified"), "bin") for packed, turn in done]
+    found = reduce(DataFrame.unionByName, [df.drop("bin") for df in named], whole)
+    # The first container of each partition, of these the same few whatever the number of empty items; where there are only whole pieces, theirs.
+    firsts = reduce(DataFrame.unionByName, [df.where("bin = 0") for df in named]).select("container", "certified").distinct().orderBy(F.xxhash64("container"))
+    some = [r[:] for r in firsts.limit(_FOR_EMPTY).collect() or whole.select("container", "certified").limit(_FOR_EMPTY).collect()] or [("0-0-0", True)]
     into = F.broadcast(numbered.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(some)], "at int, container string, certified boolean"))
     empty = numbered.where("n_tokens = 0").select("row_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("size"), F.pmod(F.xxhash64("row_id"), F.lit(len(some))).cast("int").alias("at")).join(into, "at").drop("at")
     found = found.unionByName(empty)

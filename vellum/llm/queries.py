@@ -83,6 +83,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.unnamed_runs(_table(spark, folder, "abbr_records"), _language_model(spark, folder))
 
 
+@_query
+def p3_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every part of both contexts of ``abbr_records``, with its confidence."""
+    parts = language.language_parts(_table(spark, folder, "abbr_records"), "abbr_no", ["context_before", "context_after"], _language_model(spark, folder))
+    return parts.withColumn("confidence", F.round("confidence", 4))
+
+
 @_query
 def p3_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every part of every document."""

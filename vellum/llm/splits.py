@@ -172,4 +172,4 @@ def balance(parted: DataFrame, label: str, shares: tuple[float, float, float] =
     off = F.abs(F.col("n") - F.col("all") * F.try_element_at(wanted, F.col("new_split")))
     found = long.groupBy("new_split").agg(F.sum("n").alias("entries"), (F.sum("n") / F.sum("all")).alias("share"), (F.sum(off) / F.sum("all")).alias("label_deviation"))
     torn = parted.groupBy("tie_group").agg(F.min("new_split").alias("a"), F.max("new_split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("parted_groups"))
-    return found.withColumn("deviation", F.abs(F.col("share") - F.try_element_at(wanted, F.col("new_split")))).withColumn("parted_groups", F.lit(torn.first()[0]))
+    return found.withColumn("deviation", F.abs(F.col("share") - F.try_element_at(wanted, F.col("new_split")))).withColumn("parted_groups", F.lit(torn.first()[0]).cast("long"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.arrow import flat_words
+from vellum.llm.arrow import flat_words, portions
 from vellum.llm.language import folded
 from vellum.llm.splits import BLANK
 
@@ -238,21 +238,24 @@ def subject_shares(documents: DataFrame, model: Model, carry: tuple[str, ...] =
     """``doc_id``, ``subject_id``, ``share``, ``assigned``: every subject of each row with a share above 0.
 
     A null, empty or blank text has none. Repeated rows repeat. Several subjects may be assigned, or none. The columns ``carry``
-    go along.
+    go along, those named as a column of the result with ``given_`` before their name.
     """
-    kinds, kept = dict(documents.dtypes), ["doc_id", *carry]
+    made = ["subject_id", "share", "assigned"]
+    given = documents.select("doc_id", *(F.col(c).alias(f"given_{c}" if c in made else c) for c in carry), F.col("text").alias("__text"))
+    kinds, kept = dict(given.dtypes), given.columns[:-1]
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, _ = shares(shared.value, batch.column(len(kept)))
+            words = batch.column(len(kept))
+            found = np.concatenate([shares(shared.value, words.slice(start, rows))[0] for start, rows in portions(words)]) if len(words) else np.zeros((0, len(shared.value.subjects)))
             row, k = np.nonzero(found)
             ids = np.array(shared.value.subjects, np.int64)
             share = found[row, k]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(len(kept))), pa.array(ids[k]), pa.array(share), pa.array(share >= shared.value.shares[k])], [*kept, "subject_id", "share", "assigned"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(len(kept))), pa.array(ids[k]), pa.array(share), pa.array(share >= shared.value.shares[k])], [*kept, *made])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in kept)
-    return documents.select(*kept, text_words(F.col("text")).alias("words")).mapInArrow(run, f"{schema}, subject_id long, share double, assigned boolean")
+    return given.select(*kept, text_words(F.col("__text")).alias("__words")).mapInArrow(run, f"{schema}, subject_id long, share double, assigned boolean")
 
 
 def composition(documents: DataFrame, model: Model, key: str) -> DataFrame:
