@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import dataset, nested, suggest, tei, tei_shapes, text
+from vellum.plans import dataset, files, nested, suggest, tei, tei_shapes, text
 
-_MODULES = (text, suggest, dataset, tei, tei_shapes, nested)
+_MODULES = (text, suggest, dataset, files, tei, tei_shapes, nested)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -102,8 +102,34 @@ def below(path: str, root: str) -> str:
     return whole[len(start) :] if whole.startswith(start) else whole.lstrip("/")
 
 
+def write_whole(folder: str, name: str, text: str) -> bool:
+    """A text as a file of a folder, on any file system that its URI names: written beside the target and moved there. False, and a log entry, where that fails.
+
+    A folder without a scheme, or with ``file``, is one of this machine, or mounted on it.
+    """
+    if not _SCHEME.match(folder) or folder.startswith("file:"):
+        return write_atomic(Path(unquote(_SCHEME.sub("", folder))) / name, [text])
+    import uuid
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    try:
+        system, root = fs.FileSystem.from_uri(folder)
+        target = f"{root.rstrip('/')}/{name}"
+        system.create_dir(os.path.dirname(target), recursive=True)
+        beside = f"{os.path.dirname(target)}/.writing-{uuid.uuid4().hex}"
+        with system.open_output_stream(beside) as out:
+            out.write(text.encode("utf-8"))
+        system.move(beside, target)
+        return True
+    except (OSError, pa.ArrowException) as e:
+        _log.error("%s/%s: %s", folder, name, e)
+        return False
+
+
 def save_documents(patched: DataFrame, folder: str, root: str | None = None) -> DataFrame:
-    """Write each document (``file_path``, ``xml``) into a shared folder; ``file_path``, ``saved`` of each.
+    """Write each document (``file_path``, ``xml``) into a shared folder, named by a path or a URI; ``file_path``, ``saved`` of each.
 
     Named by its path below ``root``, the folder that was read, so that files of one name in several folders stay apart;
     without ``root`` by its name alone.
@@ -113,7 +139,7 @@ def save_documents(patched: DataFrame, folder: str, root: str | None = None) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = [x is not None and write_atomic(Path(folder) / (os.path.basename(p) if root is None else below(p, root)), [x]) for p, x in zip(pdf["file_path"], pdf["xml"], strict=True)]
+            done = [x is not None and write_whole(folder, os.path.basename(p) if root is None else below(p, root), x) for p, x in zip(pdf["file_path"], pdf["xml"], strict=True)]
             yield pd.DataFrame({"file_path": pdf["file_path"], "saved": done})
 
     return patched.select("file_path", "xml").mapInPandas(run, "file_path string, saved boolean")
@@ -124,6 +150,7 @@ def save_log(log: DataFrame, folder: str) -> None:
     log.withColumn("timestamp", F.unix_timestamp(F.current_timestamp()).cast("double")).write.mode("overwrite").json(folder)
 
 
-def save_user_dictionary(path: str, dictionary: DataFrame) -> bool:
-    """A dictionary (``abbr``, ``expansions``) as a JSON object in the order of its keys."""
-    return write_json(path, {r["abbr"]: list(r["expansions"]) for r in dictionary.orderBy("abbr").toLocalIterator()}, indent=4)
+def save_user_dictionary(path: str | Path, dictionary: DataFrame) -> bool:
+    """A dictionary (``abbr``, ``expansions``) as a JSON object in the order of ``key_ord``, keys without one, or all where there is no such column, after those in the order of the alphabet."""
+    order = [F.col("key_ord").asc_nulls_last(), "abbr"] if "key_ord" in dictionary.columns else ["abbr"]
+    return write_json(path, {r["abbr"]: list(r["expansions"]) for r in dictionary.orderBy(*order).toLocalIterator()}, indent=4)

@@ -42,9 +42,7 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     or that of the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    path = new_folder(spark)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._written_to = path
@@ -52,6 +50,17 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return made
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name for a folder in the shared folder, for files other than tables; deleted as those are."""
+    path = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    made = spark.range(0)
+    made._written_to = path
+    _LIVE[path] = made
+    return path
+
+
 def materialize_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """As ``materialize``, with aggregates over the rows taken while they are written, so that no second job counts them."""
     seen = Observation()
