@@ -75,19 +75,111 @@ def test_pipelines(spark, project):
     summary = pipelines.replace_characters(spark, c, str(project / "in/a.xml"), str(project / "rep")).first()
     assert summary["deleted"] == 1 and summary["files"] == 1 and "s</p>" in (project / "rep/texts/a.xml").read_text()
     stats = {(r["part"], r["metric"]): r["value"] for r in pipelines.statistics(spark, c, str(project / "in")).collect()}
-    assert stats["documents", "malformed_abbr"] == 1 and stats["session", "files_processed"] == 2 and stats["suggestions", "dictionary_matches"] == 2
+    assert stats["documents", "malformed_abbr"] == 1 and stats["session", "files_processed"] == 2 and stats["session", "abbreviations_expanded"] == 3 and stats["suggestions", "dictionary_matches"] == 2
 
 
-def test_menu_and_arguments(spark, project, capsys):
+def run_menu(spark, project, config, *answers):
+    said, left = [], list(answers)
+
+    def ask(question):
+        said.append(f"? {question}")
+        return left.pop(0)
+
+    session = cli.menu(spark, config, str(project / "in"), str(project / "out"), ask, said.append)
+    assert not left
+    return session, said
+
+
+def test_automatic_menu(spark, project):
+    (project / "config.toml").write_text(TOML + "[user_interface]\ninteractive_mode = false\n")
+    c = Config(project / "config.toml")
+    # All files; statistics; a dataset of the decisions; the settings; an unknown choice; leave with saving.
+    session, said = run_menu(spark, project, c, "1", "y", "4", "3", "5", "9", "6", "y")
+    assert "3 XML files" in said and "2 files processed, 3 expansions" in said and "2 decisions" in said
+    assert "session files_processed: 2" in said and "session abbreviations_expanded: 3" in said and any("paths.input_path" in x for x in said)
+    saved = [p for p in (project / "out").glob("user_decisions_*")]
+    assert len(saved) == 1 and spark.read.json(str(saved[0])).count() == 2
+    # Files by number; a later decision takes the place of an earlier one; nothing saved.
+    _, said = run_menu(spark, project, c, "1", "n", "3, 1, 9", "1", "n", "", "6", "n")
+    assert "1. a.xml" in said and "3. deep/b.xml" in said and "2 files processed, 3 expansions" in said
+    assert len([p for p in (project / "out").glob("user_decisions_*")]) == 1
+
+
+def test_interactive_menu(spark, project):
+    c = Config(project / "config.toml")
+    session, said = run_menu(spark, project, c, "1", "n", "1,3", "c", " quando ", "1", "c", "x", "6", "y")
+    # The first file's first abbreviation gets a custom expansion, its second the first suggestion; that of the other is too short.
+    got = {r["abbr_key"]: (r["expansion"], r["source"], r["confidence"]) for r in session.decided.collect()}
+    assert got == {"co$": ("quando", "custom", 1.0), "omnib;": ("omnibus", "pattern", 0.4)} and "skipped" in said
+    assert (session.files_processed, session.abbreviations_expanded) == (2, 2)
+    assert json.loads((project / "u.json").read_text()) == {"co$": ["con", "quando"], "A$": ["Aa", "x"]}
+    assert any(x.startswith("1/2: co$ (<abbr>)") for x in said) and any("2. quando" in x for x in said)
+    # Skipping everything leaves nothing to save.
+    session, said = run_menu(spark, project, c, "1", "n", "3", "s", "6")
+    assert session.decided is None and session.files_processed == 1
+
+
+def test_words(spark, project):
     c = Config(project / "config.toml")
-    answers = iter(["1", "2", "co$", "", "3", "4", "5", "9", "6"])
-    said = []
-    cli.menu(spark, c, str(project / "in"), str(project / "out"), lambda _: next(answers), said.append)
-    assert "2 decisions" in said and any(x.startswith("con  0.8") for x in said) and any("paths.input_path" in x for x in said)
+    session, said = run_menu(spark, project, c, "2", "co$", "quia", "com", "omniā", "", "c", "omniam", "co$", "", "s", "k", "", "exit", "6", "y")
+    assert any(x.startswith("con  0.80") for x in said) and "looked up as omnia$" in said and "no suggestions" in said and "2 decisions" in said
+    got = {r["abbr_key"]: (r["expansion"], r["source"], r["context_before"]) for r in session.decided.collect()}
+    assert got == {"co$": ("com", "manual", "quia"), "omniā": ("omniam", "custom", "")}
+    assert json.loads((project / "u.json").read_text())["omniā"] == ["omniam"]
+
+
+def test_conflicts(spark, project):
+    (project / "u.json").write_text(json.dumps({"z": ["one"], "b$": "bus", "same": ["x", "y"], "yt": "that"}))
+    (project / "m.json").write_text(json.dumps({"same": ["x", "y"], "b$": ["ber"], "z": ["two", "three"], "yt": "yet", "only": "m"}))
+    (project / "config.toml").write_text(TOML + '[ambiguity]\nambiguous_aws = ["yt"]\n')
+    c = Config(project / "config.toml")
+    said, answers = [], ["u", "M"]
+    cli.Session(spark, c, "", "", lambda q: said.append(q) or answers.pop(0), said.append).conflicts()
+    assert [x[:2] for x in said[:2]] == ["b$", "z:"] and said[-1] == "2 conflicts resolved"
+    assert list(json.loads((project / "m.json").read_text()).items()) == [("same", ["x", "y"]), ("b$", ["bus"]), ("z", ["two", "three"]), ("yt", ["yet"]), ("only", ["m"])]
+    assert list(json.loads((project / "u.json").read_text()).items()) == [("z", ["two", "three"]), ("b$", ["bus"]), ("same", ["x", "y"]), ("yt", ["that"])]
+    assert pipelines.conflicts(spark, c).count() == 0
+
+
+def test_language_model(spark, monkeypatch):
+    model = {"language_model_integration": {"provider": "OpenAI", "model_name": "m", "suggestion_count": 2}}
+    for name in ("OPENAI_API_KEY", "MISTRAL_API_KEY", "MISTRAL_ENDPOINT"):
+        monkeypatch.delenv(name, raising=False)
+    assert pipelines.provider(Config(values=model)) is None
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    made = pipelines.provider(Config(values=model))
+    body = json.loads(made.request("text").data)
+    assert (made.count, body["model"], body["n"], [m["role"] for m in body["messages"]]) == (2, "m", 1, ["system", "user"]) and made.request("x").get_header("Authorization") == "Bearer k"
+    assert pipelines.provider(Config(values={"language_model_integration": {"enabled": False}})) is None
+    with pytest.raises(ValueError):
+        pipelines.provider(Config(values={"language_model_integration": {"provider": "other"}}))
+    mistral = Config(values={"language_model_integration": {"provider": "mistral", "model_name": "t"}})
+    monkeypatch.setenv("MISTRAL_API_KEY", "k")
+    assert pipelines.provider(mistral) is None and len(missing_keys(mistral)) == 1
+    monkeypatch.setenv("MISTRAL_ENDPOINT", "http://127.0.0.1:9/x")
+    made = pipelines.provider(mistral)
+    assert made.request("p").full_url == "http://127.0.0.1:9/x" and json.loads(made.request("p").data) == {"prompt": "p", "model": "t", "num_outputs": 1, "temperature": 0.7}
+    assert made.answer(["p"]) == [None]
+
+
+def test_main_and_arguments(spark, project, capsys, monkeypatch):
+    monkeypatch.chdir(project)
     assert cli.main(["-c", str(project / "none.toml"), "-q"]) == 1
     assert cli.main(["-c", str(project / "config.toml"), "-q", "-p", str(project / "none.xml")]) == 1
+    (project / "m.json").rename(project / "other.json")
+    assert cli.main(["-c", str(project / "config.toml"), "-q"]) == 1 and "data.machine_solution_path" in capsys.readouterr().err
+    (project / "other.json").rename(project / "m.json")
+    monkeypatch.setattr(cli, "local_session", lambda cores: spark)
+    assert cli.main(["-c", str(project / "config.toml"), "-q"]) == 1 and "3 files, 3 expansions, 1 failed" in capsys.readouterr().out
+    assert cli.main(["-c", str(project / "config.toml"), "-q", "-p", str(project / "in/a.xml"), "-o", str(project / "one")]) == 0 and (project / "one/a.xml").exists()
     a = cli.arguments(["-i", "x", "-o", "y", "-v"])
-    assert (a.config, a.input, a.output, a.quiet, a.verbose, a.process) == ("config.toml", "x", "y", False, True, None)
+    assert (a.config, a.input, a.output, a.quiet, a.verbose, a.process, a.conflicts) == ("config.toml", "x", "y", False, True, None, False)
+
+
+def test_dataset_formats(spark, project):
+    (project / "config.toml").write_text(TOML.replace('[dataset]', '[dataset]\nformat = "json"'))
+    pipelines.build_dataset(spark, Config(project / "config.toml"), str(project / "in"), str(project / "data")).collect()
+    assert sum(len(json.loads((project / f"data/{s}.json").read_text())) for s in ("train", "validation", "test")) == 3
 
 
 def test_stream(spark, project):

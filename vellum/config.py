@@ -8,6 +8,8 @@ import tomllib
 from logging.handlers import RotatingFileHandler
 from pathlib import Path
 
+from vellum.operators.providers import ChatProvider
+
 _MISSING = object()
 
 
@@ -55,12 +57,14 @@ class Config:
     def openai_integration(self, key: str) -> object:
         return self.get("OpenAI_integration", key)
 
-    def validate_paths(self) -> None:
-        """Input and both dictionaries must exist; the output folder is made."""
-        for section, key in (("paths", "input_path"), ("data", "machine_solution_path"), ("data", "user_solution_path")):
-            if not self.resolve(self.get(section, key)).exists():
-                raise FileNotFoundError(f"{section}.{key}: {self.get(section, key)}")
-        self.resolve(self.get("paths", "output_path")).mkdir(parents=True, exist_ok=True)
+    def validate_paths(self, source: str | None = None, output: str | None = None) -> None:
+        """Input and both dictionaries must exist; the output folder is made. ``source`` and ``output`` stand in for the configured ones; URIs are left alone."""
+        for key, name in (("paths.input_path", source or self.resolve(self.get("paths", "input_path"))), *((f"data.{k}", self.resolve(self.get("data", k))) for k in ("machine_solution_path", "user_solution_path"))):
+            if "://" not in str(name) and not Path(name).exists():
+                raise FileNotFoundError(f"{key}: {name}")
+        target = str(output or self.resolve(self.get("paths", "output_path")))
+        if "://" not in target:
+            Path(target).mkdir(parents=True, exist_ok=True)
 
     def recap(self) -> list[tuple[str, str, str]]:
         """Section, key and value of every setting, in the file's order."""
@@ -70,8 +74,8 @@ class Config:
 def missing_keys(config: Config, environment: dict[str, str] | None = None) -> list[str]:
     """Warnings about credentials that the configured language model would need."""
     environment = os.environ if environment is None else environment
-    wanted = {"openai": "OPENAI_API_KEY", "mistral": "MISTRAL_API_KEY"}.get(str(config.optional("language_model_integration", "provider")))
-    return [f"{wanted} is not set; offline answers are used"] if wanted and not environment.get(wanted) else []
+    wanted = ChatProvider.VARIABLES.get(str(config.optional("language_model_integration", "provider")).lower(), ())
+    return [f"{name} is not set; offline answers are used" for name in wanted if not environment.get(name)]
 
 
 def setup_logging(folder: str = "logs", level: int = logging.INFO) -> logging.Logger:

@@ -26,32 +26,46 @@ class SuggestionProvider(Protocol):
 
 @dataclass(frozen=True)
 class ChatProvider:
-    """A chat completion service. ``openai`` and ``mistral`` are known; others raise."""
+    """A service that completes chats (``openai``) or prompts (``mistral``, at the address of its environment variable); others raise. ``count`` expansions are asked for."""
 
     provider: str = "openai"
     model: str = "gpt-4"
-    system_message: str = ""
+    # Fixed value: what the model is told that it is.
+    system_message: str = "You are an expert in early modern abbreviations."
     temperature: float = 0.7
     timeout: float = 30.0
+    count: int = 3
 
-    # The services' addresses and the environment variables of their keys.
-    SERVICES = {"openai": ("https://api.openai.com/v1/chat/completions", "OPENAI_API_KEY"), "mistral": ("https://api.mistral.ai/v1/chat/completions", "MISTRAL_API_KEY")}
+    # The environment variables of each service's key and address, and the address of the first.
+    VARIABLES = {"openai": ("OPENAI_API_KEY",), "mistral": ("MISTRAL_API_KEY", "MISTRAL_ENDPOINT")}
+    CHAT = "https://api.openai.com/v1/chat/completions"
 
     def __post_init__(self) -> None:
-        if self.provider not in self.SERVICES:
+        if self.provider not in self.VARIABLES:
             raise ValueError(f"unsupported provider: {self.provider}")
 
+    def ready(self) -> bool:
+        """Whether all that the service needs is in the environment."""
+        return all(os.environ.get(v) for v in self.VARIABLES[self.provider])
+
+    def request(self, text: str) -> urllib.request.Request:
+        """The request for one prompt."""
+        key, *address = (os.environ.get(v, "") for v in self.VARIABLES[self.provider])
+        if self.provider == "mistral":
+            body = {"prompt": text, "model": self.model, "num_outputs": 1, "temperature": self.temperature}
+        else:
+            messages = [{"role": "system", "content": self.system_message}] * bool(self.system_message) + [{"role": "user", "content": text}]
+            body = {"model": self.model, "messages": messages, "n": 1, "temperature": self.temperature}
+        return urllib.request.Request(address[0] if address else self.CHAT, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+
     def answer(self, prompts: list[str]) -> list[str | None]:
-        url, variable = self.SERVICES[self.provider]
         found = []
         for text in prompts:
-            messages = [{"role": "system", "content": self.system_message}] * bool(self.system_message) + [{"role": "user", "content": text}]
-            body = json.dumps({"model": self.model, "temperature": self.temperature, "messages": messages}).encode()
-            request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(variable, '')}"})
             try:
-                with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-                    found.append(json.load(reply)["choices"][0]["message"]["content"])
-            except (OSError, KeyError, IndexError, ValueError):
+                with urllib.request.urlopen(self.request(text), timeout=self.timeout) as reply:
+                    given = json.load(reply)
+                found.append(given["outputs"][0] if self.provider == "mistral" else given["choices"][0]["message"]["content"])
+            except (OSError, KeyError, IndexError, TypeError, ValueError):
                 found.append(None)
         return found
 

@@ -40,7 +40,7 @@ def suggestions(records: DataFrame, dictionary: DataFrame, language: str = "lati
         return found.withColumn("suggestions", F.when(F.size("suggestions") > 0, F.col("suggestions")).otherwise(_given(offline_expansions(F.col("lookup_key")), "language_model")))
     # A condition would not keep Python from seeing resolved rows, so only the others go through it.
     open_ = (F.size("suggestions") == 0) & F.col("lookup_key").isNotNull()
-    answered = complete(found.where(open_), provider).withColumn("suggestions", _given(F.col("__answers"), "language_model")).drop("__answers")
+    answered = complete(found.where(open_), provider, getattr(provider, "count", 3)).withColumn("suggestions", _given(F.col("__answers"), "language_model")).drop("__answers")
     return found.where(~open_).unionByName(answered)
 
 

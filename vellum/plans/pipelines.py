@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import Config
 from vellum.operators import dataset, decisions, replace, suggest, tei, xmlpatch
+from vellum.operators import dictionary as dictionaries
 from vellum.operators.providers import ChatProvider, SuggestionProvider, lemma_table
 from vellum.operators.sizes import spread
 from vellum.sources import files, sinks
@@ -31,14 +32,46 @@ def lemmas(spark: SparkSession, config: Config) -> DataFrame | None:
 
 
 def provider(config: Config) -> SuggestionProvider | None:
-    """The configured language model, where ``online`` is set in its section; else offline answers are used."""
-    if not config.get("language_model_integration", "online", False):
+    """The configured language model, where its keys are in the environment; else None, and offline answers are used."""
+    section = "language_model_integration"
+    if not config.get(section, "enabled", True):
         return None
-    return ChatProvider(config.get("language_model_integration", "provider", "openai"), config.get("language_model_integration", "model_name", "gpt-4"))
+    made = ChatProvider(str(config.get(section, "provider", "openai")).lower(), config.get(section, "model_name", "gpt-4"), count=int(config.get(section, "suggestion_count", 3)))
+    return made if made.ready() else None
 
 
-def scan(spark: SparkSession, config: Config, path: str) -> DataFrame:
-    """Scanned documents of a file or folder, kept so that no document is parsed twice."""
+def add_custom(spark: SparkSession, config: Config, additions: list[tuple[str, str]]) -> bool:
+    """Custom expansions (abbreviation, expansion) put into the user's dictionary file, for next time; whether that was saved."""
+    path = config.resolve(config.get("data", "user_solution_path"))
+    old = files.dictionary_frame(spark, files.read_solutions(path), {})
+    new = dictionaries.add_custom(old, spark.createDataFrame(additions, "abbr string, expansion string"))
+    return sinks.save_user_dictionary(path, new.join(old.select("abbr", "key_ord"), "abbr", "left"))
+
+
+def conflicts(spark: SparkSession, config: Config) -> DataFrame:
+    """``abbr``, ``machine_value``, ``user_value`` of keys that the two dictionary files give other values; those configured as ambiguous left out."""
+    return dictionaries.conflicts(*_values(spark, config), config.ambiguous())
+
+
+def _values(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame]:
+    both = files.dictionary_frame(spark, *(files.read_or_create(config.resolve(config.get("data", key))) for key in ("user_solution_path", "machine_solution_path")))
+    return dictionaries.single_values(both, "machine"), dictionaries.single_values(both, "user")
+
+
+def resolve_conflicts(spark: SparkSession, config: Config, choices: list[tuple[str, str]]) -> bool:
+    """Both dictionary files after choices (abbreviation, ``M`` or ``U``); whether both were saved."""
+    asked = spark.createDataFrame(choices, "abbr string, choice string")
+    made, saved = dictionaries.resolve(*_values(spark, config), asked, config.ambiguous()), True
+    for key, new in zip(("machine_solution_path", "user_solution_path"), made, strict=True):
+        path = config.resolve(config.get("data", key))
+        order = files.dictionary_frame(spark, files.read_solutions(path), {}).select("abbr", "key_ord")
+        values = new.select("abbr", F.split("value", r"\|").alias("expansions")).join(order, "abbr", "left")
+        saved &= sinks.save_user_dictionary(path, values)
+    return saved
+
+
+def scan(spark: SparkSession, config: Config, path: str | list[str]) -> DataFrame:
+    """Scanned documents of files or folders, kept so that no document is parsed twice."""
     documents = spread(files.xml_files(spark, path))
     return materialize(tei.scan_documents(documents, bool(config.get("settings", "process_g_elements", True))))
 
@@ -52,18 +85,26 @@ def suggested(spark: SparkSession, config: Config, scanned: DataFrame, with_cont
 
 
 def expand_documents(spark: SparkSession, config: Config, path: str, output: str) -> DataFrame:
-    """Put the best suggestion into every document and save them by their paths below ``path``; ``file_path``, ``expanded``, ``error``, ``saved``."""
-    best = suggest.top(suggested(spark, config, scan(spark, config, path), with_context=False), "file_path", "kind_ord", "node_ord")
+    """Put the best suggestion into every document and save them by their paths below ``path``; ``file_path``, ``expanded``, ``error``, ``saved``. One that can't be parsed is saved as it was, with its error."""
+    scanned = scan(spark, config, path)
+    best = suggest.top(suggested(spark, config, scanned, with_context=False), "file_path", "kind_ord", "node_ord")
     patched = materialize(xmlpatch.patch_documents(files.xml_files(spark, path), best, use_choice=bool(config.get("xml_processing", "use_choice_tags", False)), add_ids=bool(config.get("xml_processing", "add_xml_ids", True)), pretty=True))
-    return patched.select("file_path", "expanded", "error").join(sinks.save_documents(patched, output, path), "file_path")
+    unread = scanned.select("file_path", F.col("error").alias("unread"))
+    about = patched.join(unread, "file_path").select("file_path", "expanded", F.coalesce("error", "unread").alias("error"))
+    return about.join(sinks.save_documents(patched, output, path), "file_path")
+
+
+def session_counts(found: DataFrame) -> DataFrame:
+    """One row of a session: files with an abbreviation to expand, and abbreviations that got an expansion, every occurrence counted."""
+    return found.agg(F.countDistinct("file_path").alias("files_processed"), F.count_if(F.size("suggestions") > 0).alias("abbreviations_expanded"))
 
 
-def decide(spark: SparkSession, config: Config, path: str, choices: DataFrame | None = None) -> DataFrame:
-    """Decisions for all abbreviations of a folder: the best suggestion of each, or what ``choices`` (``key``, ``choice``, ``custom``) says.
+def decide(spark: SparkSession, config: Config, path: str | list[str], choices: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Decisions for all abbreviations of a folder, or of ``found`` (from ``suggested``): the best suggestion of each, or what ``choices`` (``key``, ``choice``, ``custom``) says.
 
     ``key`` is ``file_path#node_ord`` of the element. Documents stay as they are.
     """
-    found = suggested(spark, config, scan(spark, config, path)).withColumn("key", F.concat_ws("#", "file_path", "node_ord"))
+    found = (suggested(spark, config, scan(spark, config, path)) if found is None else found).withColumn("key", F.concat_ws("#", "file_path", "node_ord"))
     about = ("key", "file_path", "kind_ord", "node_ord", "abbr_text", "normalized_form", "context_before", "context_after", "metadata")
     if choices is None:
         made = suggest.top(found, *about)
@@ -76,7 +117,7 @@ def decide(spark: SparkSession, config: Config, path: str, choices: DataFrame |
 
 
 def build_dataset(spark: SparkSession, config: Config, path: str, output: str, decided: DataFrame | None = None, system_message: str | None = None) -> DataFrame:
-    """Entries of decisions, or of a new scan, split and saved; ``split``, ``n``."""
+    """Entries of decisions, or of a new scan, split and saved; ``split``, ``n``. With ``dataset.format`` ``json`` each split is one array, too."""
     if decided is not None:
         given = decisions.decision_entries(decided).withColumn("id", F.md5("abbr_key"))
     else:
@@ -87,8 +128,12 @@ def build_dataset(spark: SparkSession, config: Config, path: str, output: str, d
     parted = materialize(dataset.split(given, key, float(config.get("dataset", "train_ratio", 0.8)), float(config.get("dataset", "validation_ratio", 0.1)), stratum))
     train = parted.where("split = 'train'")
     template = str(config.get("dataset", "instruction_template", dataset.TEMPLATE))
+    form = str(config.get("dataset", "format", "jsonl"))
     said = train.select(dataset.chat_messages(train, system_message, template, bool(config.get("dataset", "include_system_message", True))).alias("messages"))
     sinks.save_splits(parted, output, said)
+    if form.lower() == "json":
+        for part in ("train", "validation", "test"):
+            sinks.save_dataset(parted.where(F.col("split") == part).drop("split"), f"{output}/{part}.json", form)
     return dataset.split_counts(parted)
 
 
@@ -108,10 +153,8 @@ def statistics(spark: SparkSession, config: Config, path: str) -> DataFrame:
     """``part``, ``metric``, ``value``: counts of documents and abbreviations, of the session, of suggestions, and of entries."""
     scanned = scan(spark, config, path)
     found = suggested(spark, config, scanned)
-    with_any = scanned.where(F.size(F.filter("found", lambda a: ~a["already_expanded"])) > 0)
-    session = with_any.agg(F.count("*").alias("files_processed"))
     entries = dataset.validation_counts(dataset.entries(tei.abbreviations(scanned), validate=False))
-    parts = [("documents", tei.statistics(scanned)), ("session", session), ("suggestions", suggest.statistics(found)), ("entries", entries)]
+    parts = [("documents", tei.statistics(scanned)), ("session", session_counts(found)), ("suggestions", suggest.statistics(found)), ("entries", entries)]
     return reports(parts)
 
 

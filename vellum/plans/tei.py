@@ -14,6 +14,7 @@ from vellum.plans import dataset as dataset_plans
 from vellum.plans import pipelines
 from vellum.plans import suggest as suggest_plans
 from vellum.plans.tables import MACRON_TILDE, sql_markers, sql_period, sql_replace, sql_strip, sql_words, table
+from vellum.storage import materialize
 
 
 def _safe(text: Column) -> Column:
@@ -81,9 +82,12 @@ def older_g_form(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def statistics_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of documents, suggestions and entries as rows."""
-    found = suggest.suggestions(table(spark, folder, "abbr_records").select("normalized_form", "abbr_text", "context_before"), table(spark, folder, "solution_dictionary"))
-    parts = [("documents", tei.statistics(tei.scan_documents(sources(spark, folder)))), ("suggestions", suggest.statistics(found)), ("entries", dataset.validation_counts(table(spark, folder, "dataset_entries")))]
+    """Counts of documents, the session, suggestions and entries as rows."""
+    words = table(spark, folder, "solution_dictionary")
+    found = suggest.suggestions(table(spark, folder, "abbr_records").select("normalized_form", "abbr_text", "context_before"), words)
+    scanned = materialize(tei.scan_documents(sources(spark, folder)))
+    session = pipelines.session_counts(suggest.suggestions(tei.abbreviations(scanned), words))
+    parts = [("documents", tei.statistics(scanned)), ("session", session), ("suggestions", suggest.statistics(found)), ("entries", dataset.validation_counts(table(spark, folder, "dataset_entries")))]
     return pipelines.reports(parts)
 
 
@@ -177,6 +181,7 @@ def _long_sql(part: str, sql: str, metrics: list[str]) -> str:
 SQL["statistics_report"] = " UNION ALL ".join(
     [
         _long_sql("documents", SQL["tei_stats"], ["documents_processed", "abbreviations_found", "already_expanded", "normalized_abbr", "malformed_abbr"]),
+        _long_sql("session", f"""WITH {_R}, {_FOUND} SELECT count(DISTINCT abbr_no) AS files_processed, count_if(normalized_form <> '' OR abbr_text <> '' OR len({sql_words('context_before')}) > 0) AS abbreviations_expanded FROM e WHERE NOT done""", ["files_processed", "abbreviations_expanded"]),
         _long_sql("suggestions", suggest_plans.SQL["suggestion_stats"], ["total_suggestions", "dictionary_matches", "pattern_matches", "wordnet_suggestions", "lm_suggestions", "failed_abbreviations"]),
         _long_sql("entries", dataset_plans.SQL["validation_counts"], ["total_entries", "skipped_entries", "duplicate_entries"]),
     ]

@@ -32,6 +32,16 @@ def list_xml(folder: str) -> list[str]:
     return sorted(str(p) for p in Path(folder).rglob("*.xml") if p.is_file() and p.name.endswith(".xml"))
 
 
+def list_documents(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the ``.xml`` files of a folder and all below, or the file itself, sorted; on any file system, names only."""
+    if Path(path).is_file():
+        return [path]
+    if Path(path).is_dir():
+        return list_xml(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(path)
+    return sorted(r["path"] for r in found.select("path").toLocalIterator())
+
+
 def pick(paths: list[str], spec: str) -> list[str]:
     """The paths that a list of numbers from 1, parted by commas, names. Numbers out of range are passed over; anything unreadable names the first."""
     try:
