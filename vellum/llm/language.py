@@ -41,6 +41,8 @@ NAMES = {
 DIMENSIONS = 1 << 15
 #: Lengths in words for which the least cosine is fitted; between them it is interpolated, beyond the last it stays.
 LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+#: Held-out texts that the least cosine and the confidence are fitted on, at most.
+_MEASURED = 800
 #: Weight of a whole word against an n-gram of its letters. Whole words are hashed to the upper half of the dimensions.
 WHOLE_WORD = 3.0
 _LETTER = re.compile(r"[^\W\d_]")
@@ -183,7 +185,7 @@ def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = (), cl
     model = Model(languages, np.array(of), np.array(centroids, np.float32), idf)
     if measure and len(samples) > 1:
         held = samples[1::2]
-        model.least, model.trust = _limits(fit(samples[::2], (), clusters, measure=False), held, rejected)
+        model.least, model.trust = _limits(fit(samples[::2], (), clusters, measure=False), held[:: -(-len(held) // _MEASURED)], rejected)
     return model
 
 
