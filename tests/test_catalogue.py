@@ -7,6 +7,7 @@ import os
 import pytest
 
 from vellum.plans.catalogue import QUERIES, SQL
+from vellum.storage import scope, shared_dir
 
 FOLDER = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
@@ -29,8 +30,12 @@ def database():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, database, name):
-    df = QUERIES[name](spark, FOLDER)
-    rows = [tuple(r) for r in df.collect()]
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with scope():
+        df = QUERIES[name](spark, FOLDER)
+        rows = [tuple(r) for r in df.collect()]
+    assert set(os.listdir(folder)) == before
     if name in SQL:
         made = database.execute(SQL[name])
         columns = [d[0] for d in made.description]
