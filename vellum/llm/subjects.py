@@ -33,7 +33,8 @@ from vellum.llm.splits import BLANK
 
 DIMENSIONS = 1 << 16
 SECTION = 16
-#: Log-odds from which a section counts as dealing with its likeliest subject.
+#: Log-odds from which a section counts as dealing with its likeliest subject. One against the rest of eight, a section's own subject seldom gets
+#: even odds on a few words; below odds of about one in four it is more often noise. The shares a document needs are calibrated on what this lets through.
 CUT = -1.0
 _ENDS = ".;:?!"
 
@@ -216,14 +217,20 @@ def text_words(text: Column) -> Column:
     return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^<>]*>", ""), f"{BLANK}+")
 
 
-def fit_on(documents: DataFrame, areas: DataFrame, terms: DataFrame, labels: DataFrame, sample: int = 4000, hand: int = 2500) -> Model:
-    """A model fitted on at most ``sample`` documents, those with the lowest hash of ``doc_id``, and calibrated on at most ``hand`` labelled ones."""
+def fit_on(documents: DataFrame, areas: DataFrame, terms: DataFrame, labels: DataFrame, sample: int = 4000, hand: int = 2500, most_chars: int = 40_000_000) -> Model:
+    """A model fitted on at most ``sample`` documents, those with the lowest hash of ``doc_id``, and calibrated on at most ``hand`` labelled ones.
+
+    Of documents so long that these would hold more than ``most_chars`` characters fewer are taken: as many as keep within that.
+    """
     size = 1 << 30
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    total, chars = documents.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    fits = lambda most: int(min(most, most_chars * total / max(1, chars)))
+    sample, hand = fits(sample), fits(hand)
     # Half as many again as wanted are asked for by hash, since hashes fall unevenly; only they reach the driver.
     below = lambda total, most: int(size * min(1.0, 1.5 * most / max(1, total)))
     texts = documents.where("text IS NOT NULL").select("doc_id", "file_path", "source", "genre", "title", "text", hashed.alias("h"))
-    chosen = texts.where(F.col("h") < below(documents.count(), sample)).select("*", text_words(F.col("text")).alias("words")).drop("text")
+    chosen = texts.where(F.col("h") < below(total, sample)).select("*", text_words(F.col("text")).alias("words")).drop("text")
     given = sorted((r.asDict() for r in chosen.collect()), key=lambda d: (d["h"], d["words"]))[:sample]
     marked = labels.where("doc_id IS NOT NULL AND subject_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject_id").alias("have"))
     ids = marked.withColumn("h", hashed).where(F.col("h") < below(labels.count(), hand)).drop("h")
