@@ -46,11 +46,11 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def p1_balance(spark: SparkSession, folder: str) -> DataFrame:
-    """How the new splits keep groups together and proportions: each split's groups torn, and whether it is within one in a hundred of its share overall, and within five in a hundred by genre."""
+    """How the new splits keep groups together and proportions: each split's groups torn, and whether it is within two in a hundred of its share overall, and within ten in a hundred by genre."""
     entries = _table(spark, folder, "dataset_entries")
     genre = entries.select("entry_no", F.col("metadata.genre").alias("genre"))
     found = splits.balance(splits.assign_splits(entries, F.col("metadata.genre")).join(genre, "entry_no"), "genre")
-    return found.select("new_split", "parted_groups", (F.col("deviation") < 0.01).alias("in_proportion"), (F.col("label_deviation") < 0.05).alias("in_proportion_by_genre"))
+    return found.select("new_split", "parted_groups", (F.col("deviation") < 0.02).alias("in_proportion"), (F.col("label_deviation") < 0.1).alias("in_proportion_by_genre"))
 
 
 # Problem 2: visually identical text.
