@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import combined_context, entry_id, instruction, not_empty, placeholder
 from vellum.operators import pick
-from vellum.operators.sizes import broadcast_if_small
+from vellum.operators.sizes import is_small
+from vellum.storage import materialize
 
 # Fixed value: the instruction that training records give.
 TEMPLATE = "Expand the abbreviation: {abbr} in context: {context}"
@@ -67,11 +68,13 @@ def ranked_by_hash(rows: DataFrame, key: Column, stratum: Column | None = None)
     hash, the sums before each class are its offset, and only classes are sorted. ``key`` must tell rows apart.
     """
     hashed = rows.withColumn("__h", F.md5(key)).withColumn("__s", F.lit("") if stratum is None else F.coalesce(stratum.cast("string"), F.lit("default"))).withColumn("__b", F.substring("__h", 1, _RANK_DIGITS))
-    sizes = hashed.groupBy("__s", "__b").agg(F.count("*").alias("__size"))
+    # Written, so that rows are counted once for both the size check and the offsets.
+    sizes = materialize(hashed.groupBy("__s", "__b").agg(F.count("*").alias("__size")))
     along = Window.partitionBy("__s").orderBy("__b")
     offsets = sizes.withColumn("__before", F.sum("__size").over(along) - F.col("__size")).withColumn("__n", F.sum("__size").over(Window.partitionBy("__s"))).drop("__size")
+    sent = F.broadcast(offsets) if is_small(sizes) else offsets
     within = Window.partitionBy("__s", "__b").orderBy("__h")
-    placed = hashed.withColumn("__at", F.row_number().over(within)).join(broadcast_if_small(offsets), ["__s", "__b"])
+    placed = hashed.withColumn("__at", F.row_number().over(within)).join(sent, ["__s", "__b"])
     return placed.withColumn("__rn", F.col("__before") + F.col("__at")).drop("__h", "__b", "__before", "__at", "__s")
 
 
