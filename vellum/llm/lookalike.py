@@ -13,6 +13,7 @@ with the Latin one in look are listed.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -66,14 +67,20 @@ class _Prototypes(dict):
 
 
 _PROTOTYPES = _Prototypes()
+_GREEK = re.compile("[α-ω]")
 _FOREIGN = {ord(b): a for left, right in _ALIKE[2:3] for a, b in zip(left, right, strict=True) if a not in "ϲϳ"}
 
 
 def _decomposed(text: str) -> str:
-    """The text's characters replaced by prototypes, composed again; blanks are kept where they are."""
-    if text.isascii():
-        return text.translate(_PROTOTYPES)
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_PROTOTYPES))
+    """The text decomposed, its characters replaced by prototypes, decomposed again; blanks are kept where they are.
+
+    Only characters that have another prototype are looked for, since most have none.
+    """
+    text = text if text.isascii() else unicodedata.normalize("NFD", text)
+    moved = [ch for ch in set(text) if _PROTOTYPES[ord(ch)] != ch]
+    if moved:
+        text = re.sub("[" + "".join(map(re.escape, moved)) + "]", lambda found: _PROTOTYPES[ord(found[0])], text)
+    return text if text.isascii() else unicodedata.normalize("NFD", text)
 
 
 def skeleton(text: str | None) -> str | None:
@@ -97,11 +104,20 @@ def reading(skel: str) -> str:
     written in Greek again.
     """
     low = skel.lower()
-    if not low.isascii() and any("α" <= ch <= "ω" for ch in low):
-        low = " ".join(w.translate(_FOREIGN) if any("α" <= ch <= "ω" for ch in w) else w for w in low.split(" "))
+    if _GREEK.search(low):
+        low = " ".join(w.translate(_FOREIGN) if _GREEK.search(w) else w for w in low.split(" "))
     return unicodedata.normalize("NFC", low)
 
 
+def readings(texts: list[str]) -> list[str]:
+    """The readings of the skeletons of many texts, by passes over all their characters; texts with Greek are read one by one."""
+    found = skeletons(texts)
+    if not found or any(_PARTS in s for s in found):
+        return [reading(s) for s in found]
+    read = unicodedata.normalize("NFC", _PARTS.join(found).lower()).split(_PARTS)
+    return [reading(s) if _GREEK.search(r) else r for s, r in zip(found, read, strict=True)]
+
+
 def _by_value(values: pd.Series, f) -> pd.Series:
     """``f`` over the list of distinct values that aren't null, spread back to their rows."""
     codes, distinct = pd.factorize(values)
@@ -116,7 +132,7 @@ def _skeleton_udf(values: pd.Series) -> pd.Series:
 
 @pandas_udf(StringType())
 def _key_udf(values: pd.Series) -> pd.Series:
-    return _by_value(values, lambda texts: [reading(s) for s in skeletons(texts)])
+    return _by_value(values, readings)
 
 
 def skeleton_of(column: Column | str) -> Column:

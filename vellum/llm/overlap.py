@@ -27,13 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import unicodedata
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.arrow import flat_words
-from vellum.llm.lookalike import reading, skeletons, term_key
+from vellum.llm.lookalike import readings, term_key
 from vellum.llm.splits import file_key
 from vellum.operators.sizes import broadcast_if_small, spread_join
 from vellum.storage import materialize
@@ -47,21 +47,13 @@ EXTRA = 2
 HOT = (32, 50_000)
 
 
-class _WordsOnly(dict):
-    """Letters, marks and digits as they are, blanks as a space, nothing for the rest."""
-
-    def __missing__(self, code: int) -> str:
-        kind = unicodedata.category(chr(code))
-        self[code] = found = chr(code) if kind[0] in "LMN" or chr(code) in " " else ""
-        return found
-
-
-_WORDS_ONLY = _WordsOnly()
+#: Whatever is no letter, mark, digit or blank.
+_NO_WORD = regex.compile(r"[^\p{L}\p{M}\p{N} ]+")
 
 
 def word_text(texts: list[str]) -> list[str]:
     """The words of each text, parted by one blank: look-alikes made one, lower case, without punctuation."""
-    return [" ".join(reading(s).translate(_WORDS_ONLY).split()) for s in skeletons(texts)]
+    return [" ".join(_NO_WORD.sub("", read).split()) for read in readings(texts)]
 
 
 def needed(longer: int) -> int:
