@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.tokens import count_tokens
-from vellum.operators.sizes import broadcast_if_small
+from vellum.operators.sizes import MAX_BROADCAST_ROWS
 from vellum.storage import materialize, release
 
 _PACKED = "row_id long, piece int, size long, part int, bin int, bins int, bound int"
@@ -118,13 +118,22 @@ def _exchange(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pdf[["row_id", "piece", "size", "part", "bin", "bins", "bound"]]
 
 
-def _gap(packed: DataFrame) -> tuple[DataFrame, int, int]:
-    """The partitions that don't meet their bounds, each with the pair it exchanges in this round, their number and that of their containers."""
-    parts = packed.where("bins > bound").groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"))
-    n, bins = parts.agg(F.count("*"), F.coalesce(F.sum("bins"), F.lit(0))).first()
+def _per_part(packed: DataFrame) -> DataFrame:
+    return packed.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"))
+
+
+def _state(packed: DataFrame) -> tuple[int, int, int]:
+    """Partitions that don't meet their bounds, their containers, and those of all partitions."""
+    open_ = F.col("bins") > F.col("bound")
+    return tuple(_per_part(packed).agg(F.count_if(open_), F.coalesce(F.sum(F.when(open_, F.col("bins"))), F.lit(0)), F.coalesce(F.sum("bins"), F.lit(0))).first())
+
+
+def _partners(packed: DataFrame, n: int) -> DataFrame:
+    """The ``n`` partitions that don't meet their bounds, each with the pair it exchanges in."""
     # One row for each partition, not for each item, so one task can rank them.
-    ranked = parts.withColumn("at", F.row_number().over(Window.orderBy(F.col("bound") - F.col("bins"), "part")))
-    return ranked.select("part", F.least(F.col("at") - 1, F.lit(n) - F.col("at")).cast("int").alias("pair")), n, bins
+    ranked = _per_part(packed.where("bins > bound")).withColumn("at", F.row_number().over(Window.orderBy(F.col("bound") - F.col("bins"), "part")))
+    found = ranked.select("part", F.least(F.col("at") - 1, F.lit(n) - F.col("at")).cast("int").alias("pair"))
+    return F.broadcast(found) if n <= MAX_BROADCAST_ROWS else found
 
 
 def pack_parts(items: DataFrame, capacity: int, per_part: int) -> list[tuple[DataFrame, str]]:
@@ -134,18 +143,17 @@ def pack_parts(items: DataFrame, capacity: int, per_part: int) -> list[tuple[Dat
     dealt = items.withColumn("part", F.pmod(F.xxhash64("row_id", "piece"), F.lit(parts)).cast("int"))
     packed = materialize(dealt.groupBy("part").applyInPandas(lambda pdf: _pack(pdf, capacity), _PACKED))
     found, turn = [(packed.where("bins = bound"), "0")], 0
-    partners, n, bins = _gap(packed)
+    n, bins, _ = _state(packed)
     while n > 1:
-        pairs = packed.where("bins > bound").join(broadcast_if_small(partners), "part")
+        pairs = packed.where("bins > bound").join(_partners(packed, n), "part")
         again = materialize(pairs.groupBy("pair").applyInPandas(lambda pdf: _exchange(pdf, capacity), _PACKED))
-        partners, n_now, bins_now = _gap(again)
-        certified = again.where("bins = bound").select("part", "bins").distinct().agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0]
-        if n_now == n and bins_now + certified >= bins:
+        n_now, bins_open, bins_now = _state(again)
+        if n_now == n and bins_now >= bins:
             release(again)
             break
         turn += 1
         found.append((again.where("bins = bound"), str(turn)))
-        packed, n, bins = again, n_now, bins_now
+        packed, n, bins = again, n_now, bins_open
     return [*found, (packed.where("bins > bound"), str(turn))]
 
 
