@@ -167,6 +167,7 @@ def classes(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = given.select("entry_no", "train", term_key("abbreviation").alias("abbr"), _word_text()("text").alias("words")).where("abbr <> ''")
     keyed = materialize(keyed.withColumns({"key": F.unhex(F.md5(F.concat_ws("\u0001", "abbr", "words"))), "row": F.monotonically_increasing_id()}))
     both = keyed.groupBy("abbr").agg(F.min("train").alias("a"), F.max("train").alias("b")).where("a <> b").select("abbr")
+    both = materialize(both)
     # The first row of a class stands for it, so that texts are read off that row instead of going through an aggregate.
     first = keyed.groupBy("key").agg(F.min("row").alias("row"), F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"))
     live = keyed.select("abbr", "words", "row").join(broadcast_if_small(both), "abbr", "left_semi")
@@ -203,9 +204,11 @@ def class_pairs(found: DataFrame, hot: tuple[int, int] = HOT) -> DataFrame:
     can = F.least(F.col("n_e") - 1 - F.col("p_e"), F.col("n_t") - 1 - F.col("p_t"))
     # The first shared shingle leaves room for all that must follow, each later one for one less.
     together = met.where((shorter >= agree) & (can >= must - EXTRA)).groupBy("e", "t").agg(F.count("*").alias("shared"), F.min(must).alias("must"))
-    # Written, so that their size is known: where they are few, they go to the texts and no text is shuffled.
+    # Written, so that their number is known: where they are few, they go to the texts, and only texts that some pair names are shuffled.
     candidates = materialize(together.where(F.col("shared") >= F.least("must", F.lit(EXTRA + 1))).select("e", "t"))
-    text = lambda name: found.select(F.col("cid").alias(name), F.col("words").alias(f"w_{name}"), F.col("key").alias(f"k_{name}"))
+    named = candidates.select(F.explode(F.array("e", "t")).alias("cid")).distinct()
+    wanted = found.select("cid", "words", "key").join(broadcast_if_small(named), "cid", "left_semi")
+    text = lambda name: wanted.select(F.col("cid").alias(name), F.col("words").alias(f"w_{name}"), F.col("key").alias(f"k_{name}"))
     judged = candidates.join(text("e"), "e").join(text("t"), "t").select("w_e", "w_t", F.col("k_e").alias("eval_key"), F.col("k_t").alias("train_key"))
     near = judged.mapInPandas(_verify, "eval_key binary, train_key binary")
     equal = found.where("train AND eval").select(F.col("key").alias("eval_key"), F.col("key").alias("train_key"))
