@@ -32,6 +32,18 @@ _REACH = f"""
         link AS (SELECT DISTINCT a.file AS x, b.file AS y FROM tie a JOIN tie b USING (abbr) WHERE a.file <> b.file),
         reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)"""
 
+_WORDS = f"string_split(trim(regexp_replace(regexp_replace(lower({look("concat_ws(' ', coalesce(context_before, ''), coalesce(context_after, ''))")}), '[^\\p{{L}}\\p{{M}}\\p{{N}} ]', '', 'g'), ' +', ' ', 'g')), ' ')"
+# Every pair of one abbreviation, compared by the longest common subsequence of its words: a bit for each word of the one (up to 126), a step for each word of the other.
+_OVERLAPS = f"""
+        w AS (SELECT DISTINCT entry_no, coalesce(split, '') = 'train' AS train, lower({look("abbreviation")}) AS abbr, {_WORDS} AS ws FROM dataset_entries WHERE abbreviation IS NOT NULL AND abbreviation <> ''),
+        p AS (SELECT e.entry_no AS e, t.entry_no AS t, e.ws AS a, t.ws AS b, CAST(ceil(greatest(len(e.ws), len(t.ws)) * 5 / 6.0) AS BIGINT) AS need FROM w e JOIN w t USING (abbr)
+              WHERE abbr <> '' AND NOT e.train AND t.train AND least(len(e.ws), len(t.ws)) >= ceil(greatest(len(e.ws), len(t.ws)) * 5 / 6.0)),
+        l AS (SELECT e, t, a, b, need, 0 AS i, (1::HUGEINT << len(a)::INT) - 1 AS bits FROM p
+              UNION ALL
+              SELECT e, t, a, b, need, i + 1, ((bits + (bits & m)) | (bits - (bits & m))) & ((1::HUGEINT << len(a)::INT) - 1)
+              FROM (SELECT *, list_sum(list_transform(a, lambda x, k: CASE WHEN x = b[i + 1] THEN 1::HUGEINT << (k - 1)::INT ELSE 0::HUGEINT END))::HUGEINT AS m FROM l WHERE i < len(b))),
+        pairs AS (SELECT e, t FROM l WHERE i = len(b) AND len(a) - bit_count(bits) >= need)"""
+
 SQL: dict[str, str] = {
     "p1_found": f"WITH RECURSIVE {_REACH} SELECT DISTINCT x AS file_a, y AS file_b FROM reach WHERE x < y",
     "p1_groups": f"WITH RECURSIVE {_REACH} SELECT x AS file, min(y) AS tie_group, count(*) AS n_files FROM (SELECT DISTINCT x, y FROM reach) GROUP BY 1",
@@ -48,6 +60,11 @@ SQL: dict[str, str] = {
         s AS (SELECT field, v AS spelling, count(*) AS n, min(abbr_no) AS first_key, min({look("v")}) AS look FROM t WHERE v IS NOT NULL GROUP BY 1, 2),
         g AS (SELECT field, look, count(*) AS n_spellings FROM s GROUP BY 1, 2 HAVING count(*) > 1)
         SELECT field, spelling, n, first_key, n_spellings FROM s JOIN g USING (field, look)""",
+    "p4_found": f"WITH RECURSIVE {_OVERLAPS} SELECT least(e, t) AS entry_a, greatest(e, t) AS entry_b FROM pairs",
+    "p4_report": f"""
+        WITH RECURSIVE {_OVERLAPS}, links AS (SELECT e AS entry_no, count(*) AS links FROM pairs GROUP BY 1 UNION ALL SELECT t, count(*) FROM pairs GROUP BY 1),
+        about AS (SELECT DISTINCT entry_no, split, nullif(regexp_replace(lower(regexp_replace(regexp_extract(source.file, '[^/\\\\]*$'), '^{_BLANKS}|{_BLANKS}$', '', 'g')), '\\.xml$', ''), '') AS file FROM dataset_entries)
+        SELECT split, file, count(*) AS entries, CAST(sum(links) AS BIGINT) AS links FROM links JOIN about USING (entry_no) GROUP BY 1, 2""",
     "p6_found": f"""
         WITH {_DECISION_TERMS}, total AS (SELECT count(*) AS total FROM once),
         counts AS (SELECT field, words[i] AS term, count(DISTINCT decision_no) AS records FROM terms, unnest(generate_series(1, len(words))) AS s(i) GROUP BY 1, 2)
