@@ -249,3 +249,9 @@ def test_files_of_one_name(spark, project):
 )
 def test_paths_below(path, root, expected):
     assert sinks.below(path, root) == expected
+
+
+def test_writing_to_other_file_systems(tmp_path):
+    assert sinks.write_whole("mock:///folder", "b/c.xml", "x") and not sinks.write_whole("nosuch://host/a", "b", "x")
+    assert sinks.write_whole(tmp_path.as_uri(), "b/c d.xml", "ſ\r\n") and (tmp_path / "b/c d.xml").read_bytes() == "ſ\r\n".encode()
+    assert sinks.write_whole(str(tmp_path), "b/e.xml", "") and (tmp_path / "b/e.xml").read_text() == ""

@@ -163,7 +163,31 @@ def _states_sql() -> str:
 
 _LOG = " UNION ALL ".join(f"SELECT file_name, line_number, '{a}' AS original, '{said}' AS replacement FROM s{k} WHERE contains(x, '{a}')" for k, ((a, _), said) in enumerate(zip(_ALL, _SAID, strict=True)))
 
+# The seeded generator of Python, and its shuffle: 624 words mixed from the seed in two passes; each draw makes the next word from those before; a draw of as many bits as the number of
+# places left is taken if it names one of them, and that place is exchanged with the last one left.
+def _mix_sql(source: str, last: int, factor: int, more: str) -> str:
+    return f"""
+          SELECT k + 1, CASE WHEN i + 1 >= 624 THEN 1 ELSE i + 1 END, CASE WHEN i + 1 >= 624 THEN list_concat([v], mt[2:623], [v]) ELSE list_concat(mt[1:i], [v], mt[i + 2:]) END
+          FROM (SELECT k, i, mt, ((xor(mt[i + 1]::HUGEINT, xor(mt[i], mt[i] >> 30)::HUGEINT * {factor}) {more}) & 4294967295)::BIGINT AS v FROM {source} WHERE k < {last})"""
+
+
+_SHUFFLED = f"""
+        seed AS (SELECT 1 AS i, [19650218::BIGINT] AS mt UNION ALL SELECT i + 1, list_append(mt, ((1812433253::HUGEINT * xor(mt[i], mt[i] >> 30) + i) & 4294967295)::BIGINT) FROM seed WHERE i < 624),
+        one AS (SELECT 0 AS k, 1 AS i, mt FROM seed WHERE i = 624 UNION ALL {_mix_sql("one", 624, 1664525, "+ 42")}),
+        two AS (SELECT 0 AS k, i, mt FROM one WHERE k = 624 UNION ALL {_mix_sql("two", 623, 1566083941, "- i")}),
+        draws AS (SELECT list_concat([2147483648::BIGINT], mt[2:]) AS w, (SELECT count(*) FROM dataset_entries) - 1 AS i, (SELECT range(count(*)) FROM dataset_entries) AS o FROM two WHERE k = 623
+                  UNION ALL
+                  SELECT w, CASE WHEN r <= i THEN i - 1 ELSE i END, CASE WHEN r < i THEN list_concat(o[1:r], [o[i + 1]], o[r + 2:i], [o[r + 1]], o[i + 2:]) ELSE o END
+                  FROM (SELECT w, i, o, xor(d, d >> 18) >> (31 - floor(log2(i + 1))::INT) AS r
+                        FROM (SELECT w, i, o, xor(c, (c << 15) & 4022730752) AS d FROM (SELECT w, i, o, xor(b, (b << 7) & 2636928640) AS c FROM (SELECT w, i, o, xor(w[624], w[624] >> 11) AS b
+                              FROM (SELECT list_append(w[2:], xor(w[398], xor(y >> 1, CASE WHEN y % 2 = 1 THEN 2567483615 ELSE 0 END))) AS w, i, o FROM (SELECT *, (w[1] & 2147483648) | (w[2] & 2147483647) AS y FROM draws WHERE i > 0))))))),
+        shuffled AS (SELECT o[k] AS pos, k AS rn, len(o) AS n FROM (SELECT o FROM draws WHERE i <= 0), unnest(generate_series(1, len(o))) AS u(k)),
+        r AS (SELECT entry_no, row_number() OVER (ORDER BY entry_no) - 1 AS pos FROM dataset_entries)"""
+
 SQL = {
+    "split_shuffled": f"""
+        WITH RECURSIVE {_SHUFFLED}
+        SELECT entry_no, CASE WHEN rn <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' WHEN rn <= floor(n * CAST(0.8 AS DOUBLE)) + floor(n * CAST(0.1 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM r JOIN shuffled USING (pos)""",
     "context_sufficient": f"SELECT abbr_no FROM abbr_records WHERE {_ENOUGH}",
     "entry_projection": f"""SELECT abbr_no, abbr_text AS abbreviation, {_ID} AS id, {_T('context_before')} AS context_before, {_T('context_after')} AS context_after, file_path AS file, xpath, line_number AS line,
                                    metadata.title AS title FROM abbr_records WHERE {_ENOUGH}""",
