@@ -163,8 +163,8 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def p8_exchange(spark: SparkSession, folder: str) -> DataFrame:
-    """How full the containers are when documents are dealt to partitions of 200, so that partitions with gaps exchange."""
-    return packing.fill_report(packing.pack_documents(_table(spark, folder, "documents"), per_part=200))
+    """The same as ``p8_kept`` where documents are dealt to partitions of 200, so that partitions with gaps exchange."""
+    return packing.kept_whole(packing.pack_documents(_table(spark, folder, "documents"), per_part=200))
 
 
 @_query

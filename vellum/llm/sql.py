@@ -78,5 +78,6 @@ SQL: dict[str, str] = {
     "p7_roundtrip": """
         SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars, TRUE AS same FROM documents""",
     # What the task asks of any answer.
+    "p8_exchange": "SELECT doc_id, TRUE AS one_piece, TRUE AS in_room FROM documents",
     "p8_kept": "SELECT doc_id, TRUE AS one_piece, TRUE AS in_room FROM documents",
 }
