@@ -361,11 +361,12 @@ def fit_on(samples: DataFrame, labelled: DataFrame, label: Column, text: Column,
     Those with the lowest hash of ``key`` are taken. Only they reach the driver.
     """
     one = labelled.select(named_languages(label).alias("langs"), text.alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h")).where("size(langs) = 1 AND length(text) >= 40").select(F.col("langs")[0].alias("lang"), "text", "h")
-    sizes = {r["lang"]: r["count"] for r in one.groupBy("lang").count().collect()}
+    # Counted by label alone, so that this reads no text.
+    sizes = {r["lang"]: r["count"] for r in labelled.select(named_languages(label).alias("langs")).where("size(langs) = 1").groupBy(F.col("langs")[0].alias("lang")).count().collect()}
     below = F.lit(0)
     for lang, size in sizes.items():  # half as many again as wanted, since hashes fall unevenly
         below = F.when(F.col("lang") == lang, int((1 << 30) * min(1.0, 1.5 * per_language / size))).otherwise(below)
-    rows = sorted((r["h"], r["lang"], r["text"]) for r in one.where(F.col("h") < below).collect())
+    rows = sorted((d["h"], d["lang"], d["text"]) for d in one.where(F.col("h") < below).toArrow().to_pylist())
     ranked = [pair for lang in sizes for pair in [(x[1], x[2]) for x in rows if x[1] == lang][:per_language]]
     given = [(r["lang"], r["text"]) for r in samples.where("lang IS NOT NULL AND text IS NOT NULL").orderBy("sample_id").select("lang", "text").collect()]
     return fit(given, sorted(ranked))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from vellum.llm.arrow import flat_words, portions
 from vellum.llm.language import folded
 from vellum.llm.splits import BLANK
+from vellum.storage import materialize, release
 
 DIMENSIONS = 1 << 16
 SECTION = 16
@@ -224,21 +225,25 @@ def fit_on(documents: DataFrame, areas: DataFrame, terms: DataFrame, labels: Dat
     """
     size = 1 << 30
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(size))
-    total, chars = documents.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    fits = lambda most: int(min(most, most_chars * total / max(1, chars)))
-    sample, hand = fits(sample), fits(hand)
-    # Half as many again as wanted are asked for by hash, since hashes fall unevenly; only they reach the driver.
+    # Half as many again as wanted are asked for by hash, since hashes fall unevenly.
     below = lambda total, most: int(size * min(1.0, 1.5 * most / max(1, total)))
-    texts = documents.where("text IS NOT NULL").select("doc_id", "file_path", "source", "genre", "title", "text", hashed.alias("h"))
-    chosen = texts.where(F.col("h") < below(total, sample)).select("*", text_words(F.col("text")).alias("words")).drop("text")
-    given = sorted((r.asDict() for r in chosen.collect()), key=lambda d: (d["h"], d["words"]))[:sample]
     marked = labels.where("doc_id IS NOT NULL AND subject_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject_id").alias("have"))
-    ids = marked.withColumn("h", hashed).where(F.col("h") < below(labels.count(), hand)).drop("h")
-    some = texts.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("have").alias("have"))
-    known = sorted(some.select("doc_id", text_words(F.col("text")).alias("words"), "have").collect())[:hand]
+    ids = F.broadcast(marked.where(hashed < below(labels.count(), hand)))
+    texts = documents.where("text IS NOT NULL").select("doc_id", "file_path", "source", "genre", "title", "text", hashed.alias("h")).join(ids, "doc_id", "left")
+    # One pass over the texts finds both samples; what follows reads these few.
+    edge = below(documents.count(), sample)
+    some = materialize(texts.where((F.col("h") < edge) | F.col("have").isNotNull()))
+    n, chars = some.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    fits = lambda most: int(min(most, most_chars * n / max(1, chars)))
+    lowest = some.where(F.col("h") < edge).select("h").orderBy("h").limit(fits(sample)).agg(F.max("h")).first()[0]
+    chosen = some.where(F.col("h") <= (-1 if lowest is None else lowest)).select("file_path", "source", "genre", "title", "h", text_words(F.col("text")).alias("words"))
+    given = sorted(chosen.toArrow().to_pylist(), key=lambda d: (d["h"], d["words"]))[: fits(sample)]
+    once = some.where("have IS NOT NULL").groupBy("doc_id").agg(F.min("h").alias("h"), F.min("text").alias("text"), F.first("have").alias("have")).orderBy("h").limit(fits(hand))
+    known = sorted(once.select("doc_id", text_words(F.col("text")).alias("words"), "have").toArrow().to_pylist(), key=lambda d: d["doc_id"])
+    release(some)
     subjects = sorted(r[0] for r in areas.where("subject_id IS NOT NULL").select("subject_id").distinct().collect())
     seeds = sorted((r[0], r[1]) for r in terms.where("subject_id IS NOT NULL AND trim(term) <> ''").select("subject_id", "term").distinct().collect())
-    return fit(given, seeds, [(r["words"], set(r["have"])) for r in known], subjects)
+    return fit(given, seeds, [(d["words"], set(d["have"])) for d in known], subjects)
 
 
 def subject_shares(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
