@@ -10,6 +10,7 @@ MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64_000_000
 #: Rows of one key that a task may take; keys with more are spread over several.
 BLOCK = 1_000_000
+_FOR_NULLS = 1000
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
@@ -29,13 +30,15 @@ def spread_join(many: DataFrame, few: DataFrame, on: str, tell_apart: str, how:
 
     A small ``few`` is broadcast. Else keys with more than ``block`` rows are parted by the hash of the column
     ``tell_apart`` of ``many``, and their rows of ``few`` are repeated for each part, so that no task takes a whole key. Hot keys are at
-    most one in ``block`` rows, which is what is broadcast to part them. ``how``: ``inner`` or ``left``.
+    most one in ``block`` rows, which is what is broadcast to part them. Rows without a key are spread, too. ``how``: ``inner`` or ``left``.
     """
     if is_small(few):
         return many.join(F.broadcast(few), on, how)
     hot = F.broadcast(many.groupBy(on).agg(F.count("*").alias("__rows")).where(F.col("__rows") > block).select(on, F.ceil(F.col("__rows") / block).cast("int").alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))
-    left = many.join(hot, on, "left").withColumn("__part", F.pmod(F.xxhash64(tell_apart), parts).cast("int")).drop("__parts")
+    own = F.xxhash64(tell_apart)
+    # Rows without a key meet none, so they may go anywhere.
+    left = many.join(hot, on, "left").withColumn("__part", F.when(F.col(on).isNull(), F.pmod(own, F.lit(_FOR_NULLS))).otherwise(F.pmod(own, parts)).cast("int")).drop("__parts")
     right = few.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return left.join(right, [on, "__part"], how).drop("__part")
 
