@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import overlap as o
 from vellum.llm import splits as s
+from vellum.operators import sizes
 
 ENTRY = "entry_no long, abbreviation string, context_before string, context_after string, source struct<file:string>, split string, genre string, label string"
 
@@ -117,3 +118,25 @@ def test_against_all_pairs(spark):
 def test_one_long_text(spark):
     words = " ".join(f"w{i % 977}" for i in range(5000))
     assert pairs(spark, [entry(1, "k", before=words), entry(2, "k", before=words.replace("w5 ", "x "), split="test")]) == [(1, 2)]
+
+
+def test_hot_shingles_and_keys_are_parted(spark, monkeypatch):
+    rng = random.Random(9)
+    bases = [[rng.choice("abcdefghijklmn") for _ in range(12)] for _ in range(6)]
+    rows = []
+    for no in range(240):
+        words = list(bases[no % 6])
+        if no % 3:
+            words[rng.randint(0, 11)] = rng.choice("xyz")
+        rows.append(entry(no, rng.choice(["k", "k", "m"]), f"f{no % 7}" if no % 5 else None, before=" ".join(words), split=rng.choice(["train", "test"])))
+    df = frame(spark, rows)
+    plain, splits = pairs(spark, rows), sorted(map(tuple, s.assign_splits(df, F.col("genre")).collect()))
+    tied = sorted(map(tuple, s.tied_pairs(df).collect()))
+    assert len(plain) > 500 and len(tied) == 21 and len(set(plain)) == len(plain)
+    _, found = o.classes(df)
+    by_key = sorted(map(tuple, o.class_pairs(found).collect()))
+    # The same with every shingle in parts, nothing taken for small, and groups in blocks.
+    assert sorted(map(tuple, o.class_pairs(found, hot=(0, 2)).collect())) == by_key
+    monkeypatch.setattr(sizes, "is_small", lambda df, *limits: False)
+    assert pairs(spark, rows) == plain and sorted(map(tuple, s.tied_pairs(df, block=2).collect())) == tied
+    assert sorted(map(tuple, s.assign_splits(df, F.col("genre")).collect())) == splits
