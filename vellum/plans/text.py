@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as t
-from vellum.plans.tables import BLANK, MACRON_TILDE, WORD, sql_answers, sql_markers, sql_period, sql_replace, sql_strip, sql_words, table
+from vellum.plans.tables import MACRON_TILDE, WORD, sql_answers, sql_markers, sql_period, sql_replace, sql_strip, sql_words, table
 
 
 def normalize_markers(spark: SparkSession, folder: str) -> DataFrame:
