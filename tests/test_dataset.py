@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import json
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +41,45 @@ def test_shuffled_split_follows_the_generator(spark):
         d.split_shuffled(spark.range(10), "id", most=9)
 
 
+def _shuffled(values, train=0.8, validation=0.1, seed=42):
+    """The split of each of ``values`` by Python's shuffle; values without order come last."""
+    order = sorted(values, key=lambda v: (v is None, v))
+    random.Random(seed).shuffle(order)
+    a = math.floor(len(order) * train)
+    b = a + math.floor(len(order) * validation)
+    return Counter((v, "train" if i < a else "validation" if i < b else "test") for i, v in enumerate(order))
+
+
+def test_shuffled_split_has_no_most_rows_unless_given(spark):
+    n = 1_000_001
+    order = list(range(n))
+    random.Random(42).shuffle(order)
+    got = d.split_shuffled(spark.range(n), "id").cache()
+    assert got.columns == ["id", "split"] and got.count() == n and got.select("id").distinct().count() == n
+    rest = {s: set(got.where(F.col("split") == s).toArrow()["id"].to_pylist()) for s in ("validation", "test")}
+    got.unpersist()
+    assert rest["validation"] == set(order[800_000:900_000]) and rest["test"] == set(order[900_000:])
+
+
+def test_parts_of_places_are_those_of_the_generator():
+    for n in (0, 1, 2, 31, 32, 33, 1000):
+        for trained, validated in {(0, 0), (0, n), (n, n), (n // 3, n // 2), (n * 4 // 5, n * 9 // 10)}:
+            order = list(range(n))
+            random.Random(7).shuffle(order)
+            words = [w for batch in d._shuffled_parts(n, trained, validated, 7) for w in batch.column(1).to_pylist()]
+            ranks = {p: k for k, p in enumerate(order)}
+            assert [words[p // 32] >> p % 32 * 2 & 3 for p in range(n)] == [(ranks[p] >= trained) + (ranks[p] >= validated) for p in range(n)]
+
+
+@pytest.mark.parametrize("sent, n", [(True, 1002), (False, 1002), (True, 33), (True, 0)])
+def test_shuffled_split_of_gaps_ties_and_nulls(spark, monkeypatch, sent, n):
+    if not sent:
+        monkeypatch.setattr(d, "broadcast_if_small", lambda words: words)
+    values = ([-5, 2**60] + [7 * (i % 301) if i % 50 else None for i in range(1000)])[:n]
+    rows = spark.createDataFrame([(v,) for v in values], "k long").repartition(5)
+    assert Counter(map(tuple, d.split_shuffled(rows, "k", 0.34, 0.6, 7).collect())) == _shuffled(values, 0.34, 0.6, 7)
+
+
 def test_validation(spark):
     rows = [(0, "entry_1", "co$cerning", "b", "a"), (1, "entry_1", "other", "b", "a"), (2, None, "no_id", "b", "a"), (3, None, "again", "b", "a"), (4, "entry_4", None, "b", "a"), (5, "entry_4", "late", None, None)]
     df = spark.createDataFrame(rows, ENTRY)

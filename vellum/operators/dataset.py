@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import math
 import random
+from array import array
+from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import combined_context, entry_id, instruction, not_empty, placeholder
 from vellum.operators import pick
-from vellum.operators.sizes import is_small
+from vellum.operators.sizes import broadcast_if_small, is_small
 from vellum.storage import materialize
 
 # Fixed value: the instruction that training records give.
 TEMPLATE = "Expand the abbreviation: {abbr} in context: {context}"
 #: Digits of the hash that a rank is first counted by: 4,096 classes.
 _RANK_DIGITS = 3
+#: Bits of ``monotonically_increasing_id`` that count the rows of a partition.
+_PLACE_BITS = 33
+#: Places whose parts are told by one number, and places packed at a time.
+_WORD = 32
+_PACKED = 1 << 20
 
 
 def sufficient_context(before: Column, after: Column, least: int = 20) -> Column:
@@ -96,21 +107,72 @@ def _cut(placed: DataFrame, train: float, validation: float) -> DataFrame:
     return placed.withColumn("split", part).drop("__rn", "__n")
 
 
-def split_shuffled(rows: DataFrame, position: str, train: float = 0.8, validation: float = 0.1, seed: int = 42, most: int = 1_000_000) -> DataFrame:
+def _placed(rows: DataFrame, position: str) -> tuple[DataFrame, int]:
+    """``rows`` with ``__p``, the exact place from 0 of each in the order of ``position``, without it last, then of the content's hash; and their number.
+
+    Ranges are sorted apart, and the sizes of those before are a range's offset, so no task sorts all rows; only rows alike in every column are never parted.
+    """
+    order = [F.col(position).asc_nulls_last(), F.xxhash64(*rows.columns).asc()]
+    # Written, since the bounds of ranges are sampled anew each time. The id holds the range, and in its last bits the place within.
+    ranged = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__range", F.shiftright("__id", _PLACE_BITS))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__size")).orderBy("__range").collect()
+    *before, n = accumulate((x["__size"] for x in sizes), initial=0)
+    offsets = rows.sparkSession.createDataFrame([(x["__range"], k) for x, k in zip(sizes, before, strict=True)], "__range long, __before long")
+    placed = ranged.join(F.broadcast(offsets), "__range").withColumn("__p", F.col("__before") + F.col("__id").bitwiseAND((1 << _PLACE_BITS) - 1))
+    return placed.drop("__range", "__id", "__before"), n
+
+
+def _shuffled_parts(n: int, trained: int, validated: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """``__word``, ``__parts``: for each 32 of ``n`` places, two bits a place from the lowest, 0 where Python's shuffle brings it before ``trained``, 1 before ``validated``, else 2.
+
+    The shuffle exchanges each place, from the last down, with one drawn up to it. Undone in reverse order, its exchanges bring the parts
+    from the shuffled places back to the first ones; those within train change no part. So it takes a byte for each place and a number for each that isn't in train.
+    """
+    draw = random.Random(seed).getrandbits
+    drawn = array("I" if n <= 1 << 32 else "Q")
+    least = max(trained, 1)
+    for i in range(n - 1, least - 1, -1):
+        bits = (i + 1).bit_length()
+        j = draw(bits)
+        while j > i:
+            j = draw(bits)
+        drawn.append(j)
+    parts = bytearray(-(-n // _WORD) * _WORD)
+    parts[trained:validated] = b"\1" * (validated - trained)
+    parts[validated:n] = b"\2" * (n - validated)
+    for i, j in enumerate(reversed(drawn), least):
+        parts[i], parts[j] = parts[j], parts[i]
+    shifts = np.arange(0, 2 * _WORD, 2, dtype=np.uint64)
+    for start in range(0, len(parts), _PACKED):
+        some = np.frombuffer(parts, np.uint8, min(_PACKED, len(parts) - start), start).reshape(-1, _WORD)
+        words = np.bitwise_or.reduce(some.astype(np.uint64) << shifts, axis=1).view(np.int64)
+        first = start // _WORD
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(words))), pa.array(words)], ["__word", "__parts"])
+
+
+def split_shuffled(rows: DataFrame, position: str, train: float = 0.8, validation: float = 0.1, seed: int = 42, most: int | None = None) -> DataFrame:
     """As ``split``, in the order that Python's generator with ``seed`` shuffles rows into that stand in the order of ``position``.
 
-    Gaps in ``position`` count for nothing; rows alike in it, or without it (which come first), stand in the order of their content's hash. The permutation depends
-    on the number of rows alone and is made on the driver, so more than ``most`` rows raise ValueError; ``split`` has no such limit.
+    Gaps in ``position`` count for nothing; rows alike in it stand in the order of their content's hash, those without it come last. Each draw of the generator
+    depends on those before, so one task makes all of them, and of its parts two bits a row are sent. More than ``most`` rows raise ValueError, if it is given.
     """
-    n = rows.count()
-    if n > most:
-        raise ValueError(f"{n} rows; the shuffled order is made for at most {most}")
-    order = list(range(n))
-    random.Random(seed).shuffle(order)
-    places = rows.sparkSession.createDataFrame([(p, i + 1) for i, p in enumerate(order)], "__p long, __rn long")
-    numbered = rows.withColumn("__p", F.row_number().over(Window.orderBy(position, F.xxhash64(*rows.columns))) - F.lit(1).cast("long"))
-    placed = numbered.join(F.broadcast(places), "__p").withColumn("__n", F.lit(n).cast("long")).drop("__p")
-    return _cut(placed, train, validation)
+    if most is not None and (count := rows.count()) > most:
+        raise ValueError(f"{count} rows; the shuffled order is made for at most {most}")
+    placed, n = _placed(rows, position)
+    n_train, n_validation = math.floor(n * float(train)), math.floor(n * float(validation))
+    trained = min(max(n_train, 0), n)
+    validated = min(max(n_train + n_validation, trained), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield from _shuffled_parts(n, trained, validated, seed)
+
+    words = materialize(rows.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "__word long, __parts long"))
+    joined = placed.withColumn("__word", F.expr(f"__p div {_WORD}")).join(broadcast_if_small(words), "__word")
+    code = F.expr(f"shiftright(__parts, cast(__p % {_WORD} * 2 AS int)) & 3")
+    part = F.when(code == 0, "train").when(code == 1, "validation").otherwise("test")
+    return joined.withColumn("split", part).drop("__word", "__parts", "__p")
 
 
 def split_counts(parted: DataFrame) -> DataFrame:
